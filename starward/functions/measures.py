@@ -44,6 +44,15 @@ CENSUS_REGIONS = {
 }
 
 
+def ratio() -> Column:
+    return F.col("mspb_ratio")
+
+
+def rating() -> Column:
+    """The overall stars as results show them."""
+    return F.col("overall_rating").cast("int").alias("overall_rating")
+
+
 def number(text: str) -> Column:
     """An exact decimal literal."""
     return F.lit(Decimal(text))

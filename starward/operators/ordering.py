@@ -14,14 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starward.operators.joins import join_lookup
 from starward.sources.shared import write_shared
 
 # monotonically_increasing_id: partition number above bit 33, row in partition below.
 _PLACE_BITS = 33
-# Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
-# In a shuffle join, a key that holds more than 1/HOT_SHARE of the rows is joined on its own.
-HOT_SHARE = 1000
 
 
 def div(a: Column, b: Column) -> Column:
@@ -42,14 +39,18 @@ def _sorted_once(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     )
 
 
-def _offsets(part_sizes: DataFrame) -> DataFrame:
-    """(_part, _n) to (_part, _offset, _total); one row per shuffle partition."""
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    return part_sizes.select(
+def _offsets(sizes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _part, _n) to (by, _part, _offset, _total): rows in earlier partitions, and in all.
+
+    The windows see one row per shuffle partition and group.
+    """
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(
+        *by,
         "_part",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(everything).alias("_total"),
+        F.sum("_n").over(group).alias("_total"),
     )
 
 
@@ -64,7 +65,7 @@ def global_row_number(
     rows = _sorted_once(df, keys, "ordered")
     sizes = rows.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
     # Bounded: one row per shuffle partition.
-    numbered = rows.join(F.broadcast(_offsets(sizes)), "_part")
+    numbered = rows.join(F.broadcast(_offsets(sizes, [])), "_part")
     out = [*df.columns, (F.col("_offset") + F.col("_row") + 1).alias(name)]
     if total:
         out.append(F.col("_total").alias(total))
@@ -89,47 +90,28 @@ def running_counts(df: DataFrame, value: str, by: list[str] | None = None) -> Da
 
     Columns: ``by``, ``value``, ``n``, ``below``, ``total``. Rows are counted per value before
     anything moves, so the sort handles distinct values, however unevenly rows spread on them.
+    The columns of ``by`` must not be NULL.
     """
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     rows = _sorted_once(counts, [*by, value], "counts")
-    offsets = _offsets(rows.groupBy("_part").agg(F.sum("n").alias("_n")))
-    in_part = (
-        Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # Partitions of a range sort are even, and so are these windows.
-    placed = rows.withColumn("_local", F.coalesce(F.sum("n").over(in_part), F.lit(0))).join(
-        F.broadcast(offsets), "_part"
-    )
-    placed = placed.select(
-        *by, value, "n", (F.col("_offset") + F.col("_local")).alias("below"), "_total"
-    )
+    keys = [*by, "_part"]
+    offsets = _offsets(rows.groupBy(*keys).agg(F.sum("n").alias("_n")), by)
     if not by:
-        return placed.withColumnRenamed("_total", "total")
-    groups = placed.groupBy(*by).agg(
-        F.min("below").alias("_start"), F.sum("n").alias("total")
-    )
-    return placed.join(groups, by).select(
-        *by, value, "n", (F.col("below") - F.col("_start")).alias("below"), "total"
-    )
-
-
-def attach(df: DataFrame, lookup: DataFrame, key: str, weight: str = "n") -> DataFrame:
-    """Inner join of ``df`` with a lookup of one row per ``key``.
-
-    ``lookup`` has a column ``weight``: the number of rows of ``df`` with that key. A lookup
-    of checked size is broadcast. A larger one is joined by shuffle, except for the keys
-    that hold more than 1/HOT_SHARE of all rows: there are fewer than HOT_SHARE of them, and
-    their rows stay where they are.
-    """
-    lookup = write_shared(lookup, "lookup")
-    if lookup.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(lookup.drop(weight)), key)
-    everything = lookup.agg(F.sum(weight)).first()[0]
-    is_hot = F.col(weight) * HOT_SHARE > everything
-    hot, rest = lookup.where(is_hot).drop(weight), lookup.where(~is_hot).drop(weight)
-    return df.join(F.broadcast(hot), key).unionByName(
-        df.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+        # Bounded: one row per shuffle partition.
+        offsets = F.broadcast(offsets)
+    # Partitions of a range sort are even, and so are these windows.
+    earlier = Window.partitionBy(*keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.withColumn("_local", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .join(offsets, keys)
+        .select(
+            *by,
+            value,
+            "n",
+            (F.col("_offset") + F.col("_local")).alias("below"),
+            F.col("_total").alias("total"),
+        )
     )
 
 
@@ -141,10 +123,12 @@ def global_ranks(
     The percent rank is (rank - 1) / (N - 1), and 0 for a single row.
     """
     below, total = F.col("below"), F.col("total")
-    ranks = running_counts(df, value).select(
+    counts = running_counts(df, value).select(
         value,
         "n",
         (below + 1).alias(rank),
         F.when(total > 1, below / (total - 1)).otherwise(F.lit(0.0)).alias(percent_rank),
     )
-    return attach(df, ranks, value).select(*df.columns, rank, percent_rank)
+    ranks = write_shared(counts, "ranks")
+    joined = join_lookup(df, ranks.drop("n"), [value], weights=ranks)
+    return joined.select(*df.columns, rank, percent_rank)

@@ -29,6 +29,7 @@ from starward.functions.measures import (
     ownership_group,
     percent,
     quartile_label,
+    ratio,
     rounded,
     rounded_float,
     rows,
@@ -38,13 +39,12 @@ from starward.functions.measures import (
     star_label_or_unrated,
     value_group,
 )
+from starward.operators.joins import join_lookup
 from starward.operators.ordering import global_ranks
 from starward.operators.statistics import exact_percentiles, measure_columns, with_share
 from starward.plans.explore import survey_stars
 from starward.plans.warehouse import Star
 
-RATIO = F.col("mspb_ratio")
-
 
 def scores(star: Star, fact: str, measure: str, name: str, *more: str) -> DataFrame:
     """(facility_id, name) of one measure, scored rows only."""
@@ -96,8 +96,8 @@ def outcomes_by_spending_quartile(star: Star) -> DataFrame:
         .groupBy("quartile")
         .agg(
             rows().alias("hospitals"),
-            F.min(RATIO).cast("double").alias("min_mspb"),
-            F.max(RATIO).cast("double").alias("max_mspb"),
+            F.min(ratio()).cast("double").alias("min_mspb"),
+            F.max(ratio()).cast("double").alias("max_mspb"),
             mean(F.col("overall_rating"), 2).alias("avg_star_rating"),
             mean(F.col("hf_readmission_pct"), 2).alias("avg_hf_readmission_pct"),
             mean(F.col("hf_death_pct"), 2).alias("avg_hf_death_pct"),
@@ -118,7 +118,7 @@ def top_rated_by_spending_level(star: Star, spending_measure: str | None = SPEND
     return (
         star.spending(spending_measure)
         .join(hospitals(star, "overall_rating").where(rating.isNotNull()), "facility_id")
-        .groupBy(spending_level(RATIO).alias("spending_level"))
+        .groupBy(spending_level(ratio()).alias("spending_level"))
         .agg(
             F.count(rating).alias("rated_hospitals"),
             top.alias("top_rated"),
@@ -133,7 +133,7 @@ def top_rated_by_spending_level(star: Star, spending_measure: str | None = SPEND
 
 def spending_histogram(star: Star) -> DataFrame:
     """Bands of 0.05, cut on exact decimals: 0.95 belongs to the band that starts there."""
-    band = F.floor(RATIO * 20) * number("0.05")
+    band = F.floor(ratio() * 20) * number("0.05")
     counts = star.spending().groupBy(rounded(band, 2).alias("spending_bucket")).agg(
         rows().alias("hospitals")
     )
@@ -191,7 +191,7 @@ def metric_spread(star: Star) -> DataFrame:
     # Metric names.
     metrics = {
         "Medicare spending ratio (1.0 = national median)": star.spending().select(
-            RATIO.alias("metric_value")
+            ratio().alias("metric_value")
         ),
         "CMS overall star rating (1-5)": star["dim_hospital"]
         .where(F.col("overall_rating").isNotNull())
@@ -266,10 +266,10 @@ def spread_within_states(star: Star, minimum: int = 10) -> DataFrame:
         .groupBy("state")
         .agg(
             rows().alias("hospitals"),
-            mean(RATIO, 3).alias("avg_mspb"),
-            rounded(F.min(RATIO), 3).alias("min_mspb"),
-            rounded(F.max(RATIO), 3).alias("max_mspb"),
-            spread(RATIO, 3).alias("sd_mspb"),
+            mean(ratio(), 3).alias("avg_mspb"),
+            rounded(F.min(ratio()), 3).alias("min_mspb"),
+            rounded(F.max(ratio()), 3).alias("max_mspb"),
+            spread(ratio(), 3).alias("sd_mspb"),
             mean(F.col("overall_rating"), 2).alias("avg_star_rating"),
             spread(F.col("overall_rating"), 2).alias("sd_star_rating"),
         )
@@ -303,7 +303,7 @@ def readmission_point_columns(points: DataFrame, *more) -> DataFrame:
             "city_town",
             "state",
             star_label_or_unrated(F.col("overall_rating")).alias("star_rating"),
-            RATIO.cast("double").alias("mspb_ratio"),
+            ratio().cast("double").alias("mspb_ratio"),
             F.col("hf_readmission_pct").cast("double").alias("hf_readmission_pct"),
             rounded_float(F.col("share") * 100, 1).alias("spend_percentile"),
             *more,
@@ -324,7 +324,7 @@ def spending_vs_mortality(star: Star, spending_measure: str | None = SPENDING) -
         .select(
             "facility_id",
             "facility_name",
-            RATIO.cast("double").alias("spending_ratio"),
+            ratio().cast("double").alias("spending_ratio"),
             F.col("mortality_rate").cast("double").alias("mortality_rate"),
         )
     )
@@ -371,7 +371,7 @@ def infections_by_spending_level(star: Star, spending_measure: str | None = SPEN
     return (
         star.spending(spending_measure)
         .join(hospital_infection_means(star), "facility_id")
-        .groupBy(spending_level(RATIO).alias("spending_level"))
+        .groupBy(spending_level(ratio()).alias("spending_level"))
         .agg(rows().alias("hospitals"), rounded(F.avg("avg_sir"), 3).alias("avg_infection_sir"))
         .orderBy("spending_level")
     )
@@ -388,7 +388,7 @@ def better_or_worse_by_spending_level(star: Star) -> DataFrame:
     return (
         star.spending()
         .join(results, "facility_id")
-        .groupBy(spending_level(RATIO).alias("spending_level"))
+        .groupBy(spending_level(ratio()).alias("spending_level"))
         .agg(
             rows().alias("rated_results"),
             percent(rows_where(better), rows(), 2).alias("pct_better"),
@@ -404,7 +404,7 @@ def readmission_by_spending_level(
     return (
         star.spending(spending_measure)
         .join(hf_readmissions(star, "score"), "facility_id")
-        .groupBy(spending_level(RATIO).alias("spending_level"))
+        .groupBy(spending_level(ratio()).alias("spending_level"))
         .agg(
             F.count("score").alias("hospitals"),
             mean(F.col("score"), 2).alias("avg_hf_readmission_pct"),
@@ -421,7 +421,7 @@ def spending_by_survey_stars(star: Star, spending_measure: str | None = SPENDING
         star.spending(spending_measure)
         .join(survey_stars(star), "facility_id")
         .groupBy(F.col("star_rating").alias("patient_star_rating"))
-        .agg(mean(RATIO, 4).alias("avg_spending_ratio"), rows().alias("n_hospitals"))
+        .agg(mean(ratio(), 4).alias("avg_spending_ratio"), rows().alias("n_hospitals"))
         .orderBy("patient_star_rating")
     )
 
@@ -439,12 +439,15 @@ def survey_topic_gaps(star: Star, minimum: int = 100) -> DataFrame:
     )
     stars = F.col("star_rating").cast("bigint")
     first, last = F.col("quartile") == 1, F.col("quartile") == 4
-    per_hospital = (
+    rated = (
         star.spending_quartiles()
         .where(F.col("quartile").isin(1, 4))
         .select("facility_id", "quartile")
         .join(answers, "facility_id")
-        .join(star["dim_measure"].select("measure_id", "measure_name"), "measure_id")
+    )
+    names = star["dim_measure"].select("measure_id", "measure_name")
+    per_hospital = (
+        join_lookup(rated, names, ["measure_id"])
         .groupBy("facility_id", "measure_name")
         .agg(
             F.sum(F.when(first, stars)).alias("low_sum"),
@@ -500,7 +503,7 @@ def recommendation_points(star: Star, minimum_surveys: int = 100) -> DataFrame:
             "facility_id",
             "facility_name",
             "hospital_ownership",
-            RATIO.cast("double").alias("mspb_ratio"),
+            ratio().cast("double").alias("mspb_ratio"),
             F.col("pct_definitely_recommend").cast("double").alias("pct_definitely_recommend"),
             F.col("patient_survey_stars").cast("int").alias("patient_survey_stars"),
             "completed_surveys",
@@ -526,7 +529,7 @@ def stars_and_spending_by_ownership(
         .agg(
             rows().alias("hospitals"),
             mean(F.col("overall_rating"), 2).alias("avg_star_rating"),
-            mean(RATIO, 3).alias("avg_spending_ratio"),
+            mean(ratio(), 3).alias("avg_spending_ratio"),
         )
         .where(F.col("hospitals") >= minimum)
         .orderBy(F.desc_nulls_first("avg_star_rating"), "hospital_ownership")
@@ -546,7 +549,7 @@ def value_groups_by_ownership(star: Star, minimum: int = 50) -> DataFrame:
         )
         .groupBy(
             "hospital_ownership",
-            value_group(F.col("overall_rating"), RATIO).alias("value_group"),
+            value_group(F.col("overall_rating"), ratio()).alias("value_group"),
         )
         .agg(rows().alias("hospitals"))
     )
@@ -572,7 +575,7 @@ def region_and_ownership(star: Star, minimum: int = 10) -> DataFrame:
         )
         .agg(
             rows().alias("hospitals"),
-            mean(RATIO, 3).alias("avg_mspb"),
+            mean(ratio(), 3).alias("avg_mspb"),
             mean(rating, 2).alias("avg_star_rating"),
             percent(rows_where(rating >= 4), rows(), 1).alias("pct_4_or_5_star"),
         )
@@ -592,10 +595,10 @@ def spending_by_state(star: Star, minimum: int = 10) -> DataFrame:
         .groupBy("state")
         .agg(
             rows().alias("hospitals"),
-            mean(RATIO, 3).alias("avg_mspb"),
+            mean(ratio(), 3).alias("avg_mspb"),
             mean(F.col("overall_rating"), 2).alias("avg_star_rating"),
             mean(F.col("score"), 2).alias("avg_hf_readmission_pct"),
-            percent(rows_where(RATIO > 1), rows(), 1).alias("pct_above_natl_spend"),
+            percent(rows_where(ratio() > 1), rows(), 1).alias("pct_above_natl_spend"),
         )
         .where(F.col("hospitals") >= minimum)
         .orderBy(F.desc_nulls_first("avg_mspb"), "state")
@@ -613,7 +616,7 @@ def state_ranks(star: Star, minimum: int = 10) -> DataFrame:
         .groupBy("state")
         .agg(
             rows().alias("hospitals"),
-            F.avg(RATIO).alias("avg_ratio"),
+            F.avg(ratio()).alias("avg_ratio"),
             F.avg(exact(F.col("overall_rating"))).alias("avg_stars"),
         )
         .where(F.col("hospitals") >= minimum)
@@ -666,7 +669,7 @@ def for_profit_mix_by_state(star: Star, minimum: int = 10) -> DataFrame:
         .agg(
             rows().alias("hospitals"),
             percent(rows_where(for_profit), rows(), 1).alias("pct_for_profit"),
-            mean(RATIO, 3).alias("avg_mspb"),
+            mean(ratio(), 3).alias("avg_mspb"),
             mean(F.col("overall_rating"), 2).alias("avg_star_rating"),
         )
         .where(F.col("hospitals") >= minimum)

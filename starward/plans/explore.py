@@ -14,6 +14,8 @@ from starward.functions.measures import (
     correlation,
     mean,
     percent,
+    rating,
+    ratio,
     rows,
     rows_where,
     spending_level,
@@ -23,8 +25,6 @@ from starward.functions.measures import (
 from starward.plans.warehouse import Star
 from starward.sources.schemas import FACTS, STAR_TABLES
 
-RATING = F.col("overall_rating").cast("int").alias("overall_rating")
-
 
 def survey_stars(star: Star) -> DataFrame:
     """(facility_id, star_rating) of the summary rating, rated hospitals only."""
@@ -69,7 +69,7 @@ def star_distribution(star: Star) -> DataFrame:
     """Unrated hospitals are a group of their own and come last."""
     return (
         star["dim_hospital"]
-        .groupBy(RATING)
+        .groupBy(rating())
         .agg(rows().alias("hospitals"))
         .orderBy(F.asc_nulls_last("overall_rating"))
     )
@@ -87,12 +87,11 @@ def star_distribution_labelled(star: Star) -> DataFrame:
 
 def spending_summary(star: Star) -> DataFrame:
     """Over every spending measure."""
-    ratio = F.col("mspb_ratio")
     return star["fact_spending"].agg(
-        F.count(ratio).alias("hospitals_with_score"),
-        F.min(ratio).cast("double").alias("min_ratio"),
-        F.max(ratio).cast("double").alias("max_ratio"),
-        mean(ratio, 3).alias("avg_ratio"),
+        F.count(ratio()).alias("hospitals_with_score"),
+        F.min(ratio()).cast("double").alias("min_ratio"),
+        F.max(ratio()).cast("double").alias("max_ratio"),
+        mean(ratio(), 3).alias("avg_ratio"),
     )
 
 
@@ -100,9 +99,9 @@ def _spending_by_stars(star: Star) -> DataFrame:
     rated = star["dim_hospital"].where(F.col("overall_rating").isNotNull())
     return (
         star.spending(None)
-        .join(rated.select("facility_id", RATING), "facility_id")
+        .join(rated.select("facility_id", rating()), "facility_id")
         .groupBy("overall_rating")
-        .agg(rows().alias("hospitals"), mean(F.col("mspb_ratio"), 3).alias("avg_spending_ratio"))
+        .agg(rows().alias("hospitals"), mean(ratio(), 3).alias("avg_spending_ratio"))
         .orderBy("overall_rating")
     )
 
@@ -121,7 +120,7 @@ def survey_stars_by_spending_level(star: Star) -> DataFrame:
     return (
         star.spending(None)
         .join(survey_stars(star), "facility_id")
-        .groupBy(spending_level(F.col("mspb_ratio")).alias("spending_level"))
+        .groupBy(spending_level(ratio()).alias("spending_level"))
         .agg(
             F.count("star_rating").alias("hospitals"),
             mean(F.col("star_rating"), 2).alias("avg_patient_stars"),
@@ -175,7 +174,7 @@ def spending_and_stars_by_state(star: Star, minimum: int = 10) -> DataFrame:
         .groupBy("state")
         .agg(
             F.count("mspb_ratio").alias("hospitals_with_spending"),
-            mean(F.col("mspb_ratio"), 3).alias("avg_spending_ratio"),
+            mean(ratio(), 3).alias("avg_spending_ratio"),
             mean(F.col("overall_rating"), 2).alias("avg_star_rating"),
         )
         .where(F.col("hospitals_with_spending") >= minimum)
@@ -222,11 +221,11 @@ def spot_check(star: Star, facility_id: str = "010001") -> DataFrame:
     return (
         star["dim_hospital"]
         .where(chosen)
-        .select("facility_id", "facility_name", "city_town", "state", RATING)
+        .select("facility_id", "facility_name", "city_town", "state", rating())
         .join(
             star["fact_spending"]
             .where(chosen)
-            .select("facility_id", F.col("mspb_ratio").cast("double").alias("mspb_ratio")),
+            .select("facility_id", ratio().cast("double").alias("mspb_ratio")),
             "facility_id",
             "left",
         )
@@ -247,7 +246,7 @@ def spending_star_correlation(star: Star) -> DataFrame:
     return (
         star.spending()
         .join(rated.select("facility_id", "overall_rating"), "facility_id")
-        .agg(correlation(F.col("mspb_ratio"), F.col("overall_rating"), 3).alias("correlation"))
+        .agg(correlation(ratio(), F.col("overall_rating"), 3).alias("correlation"))
     )
 
 

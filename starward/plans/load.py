@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from starward.plans.checks import CONSTRAINTS
 from starward.plans.warehouse import Star, bucket_count, publish
 from starward.sources.csv_files import read_folder, source_paths
 from starward.sources.schemas import DATASETS
+from starward.sources.shared import run_together
 
 
 class LoadRejected(Exception):
@@ -41,12 +41,6 @@ def load_log(star: Star, files: Mapping[str, str]) -> DataFrame:
     return result
 
 
-def _together(job: Callable, items: Iterable) -> list:
-    """Submit independent Spark jobs side by side, so that a small one does not hold up the rest."""
-    with ThreadPoolExecutor(max_workers=6) as pool:
-        return list(pool.map(job, items))
-
-
 def load(
     raws: Mapping[str, DataFrame],
     root: str,
@@ -61,7 +55,7 @@ def load(
     """
     spark = next(iter(raws.values())).sparkSession
     star = Star(spark, root.rstrip("/"), uuid.uuid4().hex[:12], buckets or 1)
-    _together(lambda source: star.write_raw(source, raws[source]), raws)
+    run_together(lambda source: star.write_raw(source, raws[source]), raws)
     if buckets is None:
         star.buckets = bucket_count(max(df.count() for df in star.raw.values()))
 
@@ -71,9 +65,9 @@ def load(
         "dim_period": lambda: build.dim_period(star.raw, strict),
         "load_log": lambda: load_log(star, files or {}),
     }
-    _together(lambda table: star.write_table(table, dimensions[table]()), dimensions)
+    run_together(lambda table: star.write_table(table, dimensions[table]()), dimensions)
     sources = {d.table: d.source for d in DATASETS}
-    _together(
+    run_together(
         lambda fact: star.write_table(
             fact,
             build.FACT_BUILDERS[fact](
@@ -84,7 +78,7 @@ def load(
     )
 
     # Bounded: one row per declared constraint.
-    found = _together(lambda check: check(star).collect(), CONSTRAINTS)
+    found = run_together(lambda check: check(star).collect(), CONSTRAINTS)
     broken = [row for part in found for row in part if row.violations]
     if broken:
         raise LoadRejected(

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from starward.plans.warehouse import Star
+from starward.sources.shared import run_together
 
 
-def _stored(star: Star, path: str) -> bool:
+def _rows_stored(star: Star, path: str) -> int | None:
+    """Row count from the file footers; None if there is nothing at ``path``."""
     try:
-        star.spark.read.parquet(path)
+        return star.spark.read.schema("_ string").parquet(path).count()
     except AnalysisException:
-        return False
-    return True
+        return None
 
 
 def publish_questions(
@@ -29,17 +30,20 @@ def publish_questions(
     Gives one row per question: created, updated, kept (already there, not overwritten) or
     failed, with the rows stored. A question that fails is recorded and does not stop the rest.
     """
-    outcome = []
-    for name, question in questions.items():
+
+    def materialise(name: str) -> tuple:
         path = f"{folder.rstrip('/')}/{name}"
         try:
-            there = _stored(star, path)
-            status = "kept" if there and not overwrite else "updated" if there else "created"
-            if status != "kept":
-                question(star).write.mode("overwrite").parquet(path)
-            outcome.append((name, status, star.spark.read.parquet(path).count(), None))
-        except PySparkException as error:
-            outcome.append((name, "failed", None, str(error).splitlines()[0]))
+            before = _rows_stored(star, path)
+            if before is not None and not overwrite:
+                return name, "kept", before, None
+            questions[name](star).write.mode("overwrite").parquet(path)
+            status = "created" if before is None else "updated"
+            return name, status, _rows_stored(star, path), None
+        except Exception as error:  # whatever went wrong belongs to this question
+            return name, "failed", None, str(error).splitlines()[0]
+
     return star.spark.createDataFrame(
-        outcome, "name string, status string, row_count bigint, error string"
+        run_together(materialise, questions),
+        "name string, status string, row_count bigint, error string",
     )

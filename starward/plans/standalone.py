@@ -9,6 +9,7 @@ from starward.functions.measures import (
     SAFETY_INDEX,
     correlation,
     mean,
+    ratio,
     rounded,
     rows,
 )
@@ -16,7 +17,6 @@ from starward.plans import dashboard as d
 from starward.plans.explore import survey_stars
 from starward.plans.warehouse import Star
 
-RATIO = F.col("mspb_ratio")
 # '_' is a wildcard in these two patterns.
 READMISSIONS = "READM_30_%"
 DEATHS = "MORT_30_%"
@@ -24,7 +24,7 @@ DEATHS = "MORT_30_%"
 
 def spending_vs_readmission_with_correlation(star: Star) -> DataFrame:
     points = d.readmission_points(star)
-    overall = points.agg(correlation(RATIO, F.col("hf_readmission_pct"), 3)).scalar()
+    overall = points.agg(correlation(ratio(), F.col("hf_readmission_pct"), 3)).scalar()
     return d.readmission_point_columns(points, overall.alias("natl_correlation"))
 
 
@@ -37,7 +37,7 @@ def best_value_hospitals(star: Star, best: int = 3) -> DataFrame:
     rows for each two-letter state code.
     """
     rated = star.spending().join(d.hospitals(star, "state", "overall_rating"), "facility_id")
-    state_means = rated.groupBy("state").agg(F.avg(RATIO).alias("state_mean"))
+    state_means = rated.groupBy("state").agg(F.avg(ratio()).alias("state_mean"))
     pair = ["state", "mspb_ratio", "overall_rating"]
     order = Window.partitionBy("state").orderBy("mspb_ratio", F.desc("overall_rating"))
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -70,8 +70,8 @@ def best_value_hospitals(star: Star, best: int = 3) -> DataFrame:
             F.col("value_rank").cast("int").alias("value_rank"),
             *"facility_name city_town county_parish zip_code".split(),
             F.col("overall_rating").cast("int").alias("overall_rating"),
-            RATIO.cast("double").alias("mspb_ratio"),
-            rounded(RATIO - F.col("state_mean"), 3).alias("mspb_vs_state_avg"),
+            ratio().cast("double").alias("mspb_ratio"),
+            rounded(ratio() - F.col("state_mean"), 3).alias("mspb_vs_state_avg"),
             F.col("hf_readmission_pct").cast("double").alias("hf_readmission_pct"),
         )
     )
@@ -105,7 +105,7 @@ def spending_vs_all_readmissions(star: Star) -> DataFrame:
             "facility_name",
             "state",
             "hospital_ownership",
-            RATIO.cast("double").alias("mspb_ratio"),
+            ratio().cast("double").alias("mspb_ratio"),
             rounded(F.col("mean_pct"), 2).alias("avg_readmission_pct"),
             "measures_reported",
         )
@@ -141,8 +141,8 @@ def all_outcomes_by_spending_quartile(star: Star) -> DataFrame:
         .groupBy("quartile")
         .agg(
             rows().alias("hospitals"),
-            rounded(F.min(RATIO), 2).alias("min_mspb"),
-            rounded(F.max(RATIO), 2).alias("max_mspb"),
+            rounded(F.min(ratio()), 2).alias("min_mspb"),
+            rounded(F.max(ratio()), 2).alias("max_mspb"),
             rounded(F.avg("mortality"), 2).alias("avg_mortality_pct"),
             mean(F.col("psi_90"), 3).alias("avg_psi_90"),
             rounded(F.avg("avg_sir"), 3).alias("avg_infection_sir"),
@@ -192,8 +192,8 @@ def state_spending_and_stars(star: Star, minimum: int = 10) -> DataFrame:
         .join(d.hospitals(star, "state", "overall_rating"), "facility_id")
         .groupBy("state")
         .agg(
-            F.count(RATIO).alias("hospitals"),
-            mean(RATIO, 3).alias("avg_spending_ratio"),
+            F.count(ratio()).alias("hospitals"),
+            mean(ratio(), 3).alias("avg_spending_ratio"),
             mean(F.col("overall_rating"), 2).alias("avg_star_rating"),
         )
         .where(F.col("hospitals") >= minimum)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starward.functions import cleaning as clean
+from starward.operators.joins import join_lookup
 from starward.operators.ordering import global_row_number
 from starward.sources.schemas import star_schema
 
@@ -101,7 +102,7 @@ def _fact(
         *[c.alias(name) for name, c in columns.items()],
     )
     known = cleaned.join(hospitals.select("facility_id"), "facility_id", "left_semi")
-    return _typed(known.join(periods, ["start_date", "end_date"], "left"), table)
+    return _typed(join_lookup(known, periods, ["start_date", "end_date"], "left"), table)
 
 
 def _numbers(names: str, strict: bool) -> dict[str, Column]:

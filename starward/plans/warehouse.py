@@ -7,6 +7,7 @@ are sorted by measure: a query for one measure skips the row groups of the other
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass, field
 
@@ -74,6 +75,7 @@ class Star:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     raw: dict[str, DataFrame] = field(default_factory=dict)
     _quartiles: DataFrame | None = None
+    _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def __getitem__(self, table: str) -> DataFrame:
         return self.tables[table]
@@ -127,13 +129,14 @@ class Star:
 
         ``ntile`` leaves the order of ties open; here the facility id decides.
         """
-        if self._quartiles is None:
-            label = f"spending_quartiles_{uuid.uuid4().hex[:8]}"
-            name = table_name(self.version, label)
-            tiles = global_ntile(self.spending(), 4, ["mspb_ratio", "facility_id"], "quartile")
-            write_bucketed(tiles, self.path(label), name, self.buckets, ["facility_id"])
-            self._quartiles = self.spark.table(name)
-        return self._quartiles
+        with self._lock:
+            if self._quartiles is None:
+                label = f"spending_quartiles_{uuid.uuid4().hex[:8]}"
+                name = table_name(self.version, label)
+                tiles = global_ntile(self.spending(), 4, ["mspb_ratio", "facility_id"], "quartile")
+                write_bucketed(tiles, self.path(label), name, self.buckets, ["facility_id"])
+                self._quartiles = self.spark.table(name)
+            return self._quartiles
 
 
 def _published_path(root: str) -> str:

@@ -1,9 +1,11 @@
-"""Tables written to the folder every executor can reach."""
+"""Tables in the folder every executor can reach, and jobs submitted side by side."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,9 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/starward/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_together(job: Callable, items: Iterable) -> list:
+    """Submit independent Spark jobs side by side, so that a small one does not hold up the rest."""
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        return list(pool.map(job, items))
