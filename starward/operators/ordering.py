@@ -72,19 +72,6 @@ def global_row_number(
     return numbered.select(*out)
 
 
-def global_ntile(df: DataFrame, tiles: int, keys: list[str], name: str = "tile") -> DataFrame:
-    """``ntile(tiles) over (order by keys)``: sizes differ by at most one, larger tiles first."""
-    numbered = global_row_number(df, keys, "_rn", "_total")
-    before = F.col("_rn") - 1
-    size, larger = div(F.col("_total"), F.lit(tiles)), F.col("_total") % tiles
-    in_larger = larger * (size + 1)
-    # With fewer rows than tiles size is 0 and every row falls in the first branch.
-    tile = F.when(before < in_larger, div(before, size + 1)).otherwise(
-        larger + div(before - in_larger, F.greatest(size, F.lit(1)))
-    )
-    return numbered.select(*df.columns, (tile + 1).cast("int").alias(name))
-
-
 def running_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """One row per distinct value (per group): rows with it, rows below it, rows in the group.
 
@@ -115,6 +102,55 @@ def running_counts(df: DataFrame, value: str, by: list[str] | None = None) -> Da
     )
 
 
+def _tile(position: Column, total: Column, tiles: int) -> Column:
+    """Tile (from 1) of a position (from 0): sizes differ by one at most, larger tiles first."""
+    size, larger = div(total, F.lit(tiles)), total % tiles
+    in_larger = larger * (size + 1)
+    # With fewer rows than tiles size is 0 and every position falls in the first branch.
+    tile = F.when(position < in_larger, div(position, size + 1)).otherwise(
+        larger + div(position - in_larger, F.greatest(size, F.lit(1)))
+    )
+    return (tile + 1).cast("int")
+
+
+def global_ntile(
+    df: DataFrame, tiles: int, value: str, tiebreak: str, name: str = "tile"
+) -> DataFrame:
+    """``ntile(tiles) over (order by value, tiebreak)``; ``value`` must not be NULL.
+
+    Counts per value settle all rows whose value lies in a single tile. Only values cut by the
+    border of two tiles, of which there are fewer than ``tiles``, have their rows put in order.
+    """
+    below, n, total = F.col("below"), F.col("n"), F.col("total")
+    placed = write_shared(
+        running_counts(df, value).select(
+            value,
+            "n",
+            "below",
+            "total",
+            _tile(below, total, tiles).alias(name),
+            _tile(below + n - 1, total, tiles).alias("_last"),
+        ),
+        "tiles",
+    )
+    whole, cut = placed.where(F.col(name) == F.col("_last")), placed.where(F.col(name) < F.col("_last"))
+    settled = join_lookup(df, whole.select(value, name), [value], weights=placed)
+    settled = settled.select(*df.columns, name)
+    if cut.isEmpty():
+        return settled
+    # Bounded: fewer rows than tiles, in the window and in the broadcast.
+    earlier = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    skipped = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    cut = cut.select(value, "total", (below - skipped).alias("_shift"))
+    ordered = global_row_number(
+        df.join(F.broadcast(cut), value), [value, tiebreak], "_rn"
+    )
+    position = F.col("_rn") - 1 + F.col("_shift")
+    return settled.unionByName(
+        ordered.withColumn(name, _tile(position, total, tiles)).select(*df.columns, name)
+    )
+
+
 def global_ranks(
     df: DataFrame, value: str, rank: str = "rank", percent_rank: str = "percent_rank"
 ) -> DataFrame:

@@ -133,7 +133,9 @@ class Star:
             if self._quartiles is None:
                 label = f"spending_quartiles_{uuid.uuid4().hex[:8]}"
                 name = table_name(self.version, label)
-                tiles = global_ntile(self.spending(), 4, ["mspb_ratio", "facility_id"], "quartile")
+                tiles = global_ntile(
+                    self.spending(), 4, "mspb_ratio", "facility_id", "quartile"
+                )
                 write_bucketed(tiles, self.path(label), name, self.buckets, ["facility_id"])
                 self._quartiles = self.spark.table(name)
             return self._quartiles

@@ -39,20 +39,29 @@ def coalescing(request, conf):
 
 
 @pytest.mark.parametrize("size", SIZES)
-def test_row_number_and_ntile_equal_window(spark, coalescing, size):
+def test_row_number_equals_window(spark, coalescing, size):
     df = table(spark, size)
     window = Window.orderBy("v", "id")
     numbered = global_row_number(df, ["v", "id"], "rn", "total")
     expected = df.withColumn("rn", F.row_number().over(window)).withColumn("total", F.lit(size))
     assert same(numbered, expected)
-    tiles = global_ntile(df, 4, ["v", "id"], "t")
-    assert same(tiles, df.withColumn("t", F.ntile(4).over(window)))
 
 
-def test_ntile_of_rows_that_all_tie(spark, coalescing):
-    df = table(spark, 10, distinct=1, hot=1)
+@pytest.mark.parametrize("tiles", [1, 4, 7])
+@pytest.mark.parametrize("hot", [0, 0.33, 1])
+@pytest.mark.parametrize("size", SIZES)
+def test_ntile_equals_window(spark, conf, size, hot, tiles):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = table(spark, size, hot=hot)
+    expected = df.withColumn("t", F.ntile(tiles).over(Window.orderBy("v", "id")))
+    assert same(global_ntile(df, tiles, "v", "id", "t"), expected)
+
+
+def test_ntile_of_distinct_values(spark, coalescing, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    df = table(spark, 1001, distinct=10**6, hot=0)
     expected = df.withColumn("t", F.ntile(4).over(Window.orderBy("v", "id")))
-    assert same(global_ntile(df, 4, ["v", "id"], "t"), expected)
+    assert same(global_ntile(df, 4, "v", "id", "t"), expected)
 
 
 @pytest.mark.parametrize("broadcast_rows", [joins.BROADCAST_ROWS, 0])
