@@ -91,18 +91,21 @@ def _fact(
     strict: bool,
     measure: str = "measure_id",
 ) -> DataFrame:
-    """Keep rows of known hospitals, look up the period, clean the value columns.
+    """Keep rows of known hospitals, then clean the value columns and look up the period.
 
-    Only the join keys of the dimensions take part. A row without dates has no period.
+    In this order, unusable text of an unknown hospital stops nothing. Only the join keys of
+    the dimensions take part. A row without dates has no period.
     """
-    cleaned = raw.select(
-        clean.pad_id(F.col("facility_id")).alias("facility_id"),
+    known = raw.withColumn("facility_id", clean.pad_id(F.col("facility_id"))).join(
+        hospitals.select("facility_id"), "facility_id", "left_semi"
+    )
+    cleaned = known.select(
+        "facility_id",
         F.col(measure).alias("measure_id"),
         *[clean.to_date(F.col(c), strict).alias(c) for c in ("start_date", "end_date")],
         *[c.alias(name) for name, c in columns.items()],
     )
-    known = cleaned.join(hospitals.select("facility_id"), "facility_id", "left_semi")
-    return _typed(join_lookup(known, periods, ["start_date", "end_date"], "left"), table)
+    return _typed(join_lookup(cleaned, periods, ["start_date", "end_date"], "left"), table)
 
 
 def _numbers(names: str, strict: bool) -> dict[str, Column]:

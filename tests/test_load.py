@@ -146,6 +146,16 @@ def test_strict_load_stops_on_unusable_text_and_tolerant_load_reports_it(spark,
     }
 
 
+def test_text_of_an_unknown_hospital_stops_nothing(spark, tmp_path):
+    star = small.small_star(
+        spark,
+        tmp_path,
+        hospital_info=[small.hospital("1")],
+        spending=[small.spending("1", "0.9"), small.spending("2", "1.2.3")],
+    )
+    assert [r.facility_id for r in star["fact_spending"].collect()] == ["000001"]
+
+
 def test_a_rejected_load_leaves_the_old_version_current(spark, tmp_path):
     good = small.small_star(spark, tmp_path, hospital_info=[small.hospital("1")])
     with pytest.raises(LoadRejected):
