@@ -25,11 +25,6 @@ KEYS = [
     *[(fact, ["facility_id", "measure_id"]) for fact in FACTS],
     ("load_log", ["dataset_id"]),
 ]
-PARENTS = [
-    ("dim_hospital", "facility_id"),
-    ("dim_measure", "measure_id"),
-    ("dim_period", "period_id"),
-]
 RATINGS = [("dim_hospital", "overall_rating"), ("fact_patient_survey", "star_rating")]
 WIDTHS = [("dim_hospital", "state", 2)]
 UNSCORED = {
@@ -132,22 +127,44 @@ def duplicate_keys(star: Star) -> DataFrame:
 def orphan_rows(star: Star) -> DataFrame:
     """Fact rows whose hospital, measure or period is not in the dimension.
 
-    Rows are counted per key value first, so the anti-join sees each value once. A NULL
-    period is allowed.
+    Hospitals are compared bucket by bucket. For the other two, rows are counted per (measure,
+    period) first, so the lookups see each pair once. A NULL period is allowed.
     """
+    hospitals = star["dim_hospital"].select("facility_id")
+    measures = star["dim_measure"].select("measure_id", F.lit(True).alias("has_measure"))
+    periods = star["dim_period"].select("period_id", F.lit(True).alias("has_period"))
+    n = F.col("n")
     parts = []
     for fact in FACTS:
-        for parent, key in PARENTS:
-            used = star[fact].groupBy(key).agg(rows().alias("n")).where(F.col(key).isNotNull())
-            parts.append(
-                _violations(
-                    used.join(star[parent].select(key), key, "left_anti"),
-                    f"not in {parent}",
-                    fact,
-                    key,
-                    F.coalesce(F.sum("n"), F.lit(0)),
-                )
+        parts.append(
+            _violations(
+                star[fact].join(hospitals, "facility_id", "left_anti"),
+                "not in dim_hospital",
+                fact,
+                "facility_id",
+                rows(),
             )
+        )
+        used = star[fact].groupBy("measure_id", "period_id").agg(rows().alias("n"))
+        no_measure = F.col("has_measure").isNull() & F.col("measure_id").isNotNull()
+        no_period = F.col("has_period").isNull() & F.col("period_id").isNotNull()
+        parts.append(
+            _one_row_each(
+                used.join(measures, "measure_id", "left").join(periods, "period_id", "left"),
+                [
+                    F.struct(
+                        F.lit(f"not in {parent}").alias("check_name"),
+                        F.lit(fact).alias("table_name"),
+                        F.lit(key).alias("column_names"),
+                        F.coalesce(F.sum(F.when(missing, n)), F.lit(0)).alias("violations"),
+                    )
+                    for parent, key, missing in [
+                        ("dim_measure", "measure_id", no_measure),
+                        ("dim_period", "period_id", no_period),
+                    ]
+                ],
+            )
+        )
     return _union(parts)
 
 

@@ -48,10 +48,11 @@ def open_bucketed(
     spark: SparkSession, path: str, name: str, buckets: int, sort_by: list[str], columns: str
 ) -> DataFrame:
     """The bucketed table at ``path``, declared in this session's catalog if it is not yet."""
+    location = path.replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
         f"CLUSTERED BY (facility_id) SORTED BY ({', '.join(sort_by)}) INTO {buckets} BUCKETS "
-        f"LOCATION '{path}'"
+        f"LOCATION '{location}'"
     )
     return spark.table(name)
 

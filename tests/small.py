@@ -12,7 +12,7 @@ def raws(spark, **sources):
     result = {}
     for source, columns in RAW_COLUMNS.items():
         rows = [tuple(row.get(c, "") for c in columns) for row in sources.get(source, [])]
-        result[source] = spark.createDataFrame(rows, raw_schema(source))
+        result[source] = spark.createDataFrame(rows, raw_schema(source)).coalesce(1)
     return result
 
 
