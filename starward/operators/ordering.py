@@ -133,7 +133,8 @@ def global_ntile(
         ),
         "tiles",
     )
-    whole, cut = placed.where(F.col(name) == F.col("_last")), placed.where(F.col(name) < F.col("_last"))
+    whole = placed.where(F.col(name) == F.col("_last"))
+    cut = placed.where(F.col(name) < F.col("_last"))
     settled = join_lookup(df, whole.select(value, name), [value], weights=placed)
     settled = settled.select(*df.columns, name)
     if cut.isEmpty():

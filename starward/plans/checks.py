@@ -202,7 +202,11 @@ def out_of_range(star: Star) -> DataFrame:
     """Ratings outside 1..5 and texts wider than declared."""
     ratings = [
         _violations(
-            star[table], "rating out of range", table, column, rows_where(~F.col(column).between(1, 5))
+            star[table],
+            "rating out of range",
+            table,
+            column,
+            rows_where(~F.col(column).between(1, 5)),
         )
         for table, column in RATINGS
     ]

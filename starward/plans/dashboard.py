@@ -289,7 +289,10 @@ def readmission_points(star: Star, minimum_cases: int = 150) -> DataFrame:
     return (
         star.spending()
         .join(enough.drop("denominator"), "facility_id")
-        .join(hospitals(star, "facility_name", "city_town", "state", "overall_rating"), "facility_id")
+        .join(
+            hospitals(star, "facility_name", "city_town", "state", "overall_rating"),
+            "facility_id",
+        )
     )
 
 

@@ -37,7 +37,9 @@ def survey_stars(star: Star) -> DataFrame:
 
 def table_rows(star: Star) -> DataFrame:
     counts = [
-        star[table].agg(rows().alias("row_count")).select(F.lit(table).alias("table_name"), "row_count")
+        star[table]
+        .agg(rows().alias("row_count"))
+        .select(F.lit(table).alias("table_name"), "row_count")
         for table in STAR_TABLES
     ]
     return reduce(DataFrame.unionByName, counts)
@@ -230,7 +232,9 @@ def spot_check(star: Star, facility_id: str = "010001") -> DataFrame:
             "left",
         )
         .join(
-            survey.select("facility_id", F.col("star_rating").cast("int").alias("patient_survey_stars")),
+            survey.select(
+                "facility_id", F.col("star_rating").cast("int").alias("patient_survey_stars")
+            ),
             "facility_id",
             "left",
         )

@@ -70,7 +70,8 @@ def _pick(c: Column, choices: Mapping, otherwise: str) -> Column:
 
 def _hundredths(c: Column) -> Column:
     """Whole number of hundredths to text with two decimals."""
-    return _text((c.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(14,2)"))
+    scaled = c.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")
+    return _text(scaled.cast("decimal(14,2)"))
 
 
 def _cents(amount: str) -> Column:
@@ -114,7 +115,9 @@ def _spending(orders: DataFrame) -> DataFrame:
         _text(F.col("o_custkey")).alias("facility_id"),
         F.lit("MSPB-1").alias("measure_id"),
         F.lit("Spending per patient").alias("measure_name"),
-        F.when(cents % 17 == 0, "Not Available").otherwise(_hundredths(cents % 61 + 70)).alias("score"),
+        F.when(cents % 17 == 0, "Not Available")
+        .otherwise(_hundredths(cents % 61 + 70))
+        .alias("score"),
         F.lit("").alias("footnote"),
         F.lit("01/01/2024").alias("start_date"),
         F.lit("12/31/2024").alias("end_date"),
@@ -139,7 +142,9 @@ def _complications(by_priority: DataFrame, spark: SparkSession) -> DataFrame:
         F.concat(F.lit("Complication measure "), prio).alias("measure_name"),
         _pick(cents % 5, dict(enumerate(NATIONAL_RATE)), "").alias("compared_to_national"),
         _text(F.col("n") * 30).alias("denominator"),
-        F.when(cents % 11 == 0, "Not Available").otherwise(_hundredths(cents % 2000)).alias("score"),
+        F.when(cents % 11 == 0, "Not Available")
+        .otherwise(_hundredths(cents % 2000))
+        .alias("score"),
         F.lit("--").alias("lower_estimate"),
         F.lit("-0.5").alias("higher_estimate"),
     )

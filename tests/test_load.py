@@ -25,7 +25,8 @@ def test_schemas_are_the_declared_ones(sample_star):
 
 
 def test_unknown_hospitals_are_dropped_and_counted(sample_star):
-    rows = {r.source: (r.raw_rows, r.loaded_rows) for r in checks.loaded_rows(sample_star).collect()}
+    found = checks.loaded_rows(sample_star).collect()
+    rows = {r.source: (r.raw_rows, r.loaded_rows) for r in found}
     assert rows.pop("complications and deaths") == (645, 644)
     assert all(raw == loaded for raw, loaded in rows.values())
 
@@ -193,7 +194,8 @@ def test_load_from_csv_files(spark, sample_star, tmp_path):
 
 
 def test_audit_lists_every_typed_column_in_order(sample_star):
-    found = [(r.table_name, r.column_name, r.data_type) for r in checks.column_audit(sample_star).collect()]
+    audit = checks.column_audit(sample_star).collect()
+    found = [(r.table_name, r.column_name, r.data_type) for r in audit]
     expected = [
         (table, f.name, f.kind)
         for table in sorted(STAR_FIELDS)
