@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from starward.llm.bpe import bpe_decode, bpe_encode
 from starward.llm.token_counts import token_counts
 
 
@@ -20,8 +22,21 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), tokenizer)
 
 
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the bytes they stand for, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe_decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {}
