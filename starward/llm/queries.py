@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starward.llm.bpe import bpe_decode, bpe_encode
+from starward.llm.oracle import ORACLE
+from starward.llm.repeats import cut_repeats
 from starward.llm.token_counts import token_counts
 
 
@@ -22,6 +24,13 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), tokenizer)
 
 
+def op7_cut_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 13-word windows that a smaller document has as well."""
+    return cut_repeats(table(spark, folder, "documents"), window=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they stand for, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,7 +45,8 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op7_cut_repeats": op7_cut_repeats,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
