@@ -26,4 +26,38 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_removed,
 FROM marked
 """
 
-ORACLE: dict[str, str] = {"op7_cut_repeats": CUT_REPEATS}
+#: Links documents with 100 * common >= 85 * union of 3-word shingles, then spreads the least id.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE lists AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 2], ' ') AS shingle
+    FROM lists, unnest(range(1, greatest(len(words) - 1, 2))) AS starts(pos)
+    WHERE len(words) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+), reach AS (
+    SELECT doc_id AS node, doc_id AS seen FROM documents
+    UNION
+    SELECT b, seen FROM reach JOIN links ON node = a
+), roots AS (
+    SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN roots ON node = doc_id LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_cut_repeats": CUT_REPEATS,
+    "op8_near_duplicates": NEAR_DUPLICATES,
+}

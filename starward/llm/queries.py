@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starward.llm.bpe import bpe_decode, bpe_encode
+from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
 from starward.llm.repeats import cut_repeats
 from starward.llm.token_counts import token_counts
@@ -31,6 +32,11 @@ def op7_cut_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents that share 85 % of their 3-word shingles."""
+    return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they stand for, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,6 +52,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op7_cut_repeats": op7_cut_repeats,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
