@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from starward.llm.bpe import bpe_decode, bpe_encode
 from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
+from starward.llm.personal_data import KINDS, personal_data, span_list
 from starward.llm.repeats import cut_repeats
 from starward.llm.token_counts import token_counts
 
@@ -49,11 +50,25 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data, and of the terms that disclose it."""
+    found = personal_data(table(spark, folder, "documents"))
+
+    def count(kind: str):
+        own = F.filter("base", lambda s: s["kind"] == KINDS.index(kind))
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS[:4]]
+    digest = F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, span_list(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op7_cut_repeats": op7_cut_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_personal_data": op10_personal_data,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
