@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starward.llm.bpe import bpe_decode, bpe_encode
+from starward.llm.decontamination import contaminated
 from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
 from starward.llm.personal_data import KINDS, personal_data, span_list
@@ -26,6 +27,11 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), tokenizer)
 
 
+def op6_contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the place."""
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_cut_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the 13-word windows that a smaller document has as well."""
     return cut_repeats(table(spark, folder, "documents"), window=13).select(
@@ -65,6 +71,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op6_contaminated": op6_contaminated,
     "op7_cut_repeats": op7_cut_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
