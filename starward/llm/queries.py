@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from starward.llm.bpe import bpe_decode, bpe_encode
 from starward.llm.decontamination import contaminated
+from starward.llm.language_id import held_out, identify, learn_profiles
 from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
 from starward.llm.personal_data import KINDS, personal_data, span_list
@@ -21,6 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    documents = table(spark, folder, "documents")
+    out = held_out(F.col("doc_id"))
+    profiles = learn_profiles(documents.where(F.col("doc_id").isNotNull() & ~out))
+    return identify(documents, profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +79,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_token_counts": op4_token_counts,
     "op6_contaminated": op6_contaminated,
     "op7_cut_repeats": op7_cut_repeats,
