@@ -57,7 +57,32 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM documents JOIN roots ON node = doc_id LEFT JOIN sizes USING (doc_id)
 """
 
+#: Links vectors with a cosine of 0.9 or more, then spreads the least id.
+EMBEDDING_DUPLICATES = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+    SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors
+    WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND list_dot_product(v, v) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+), reach AS (
+    SELECT vec_id AS node, vec_id AS seen FROM embeddings
+    UNION
+    SELECT b, seen FROM reach JOIN links ON node = a
+), roots AS (
+    SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+), counts AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op3_embedding_duplicates": EMBEDDING_DUPLICATES,
     "op7_cut_repeats": CUT_REPEATS,
     "op8_near_duplicates": NEAR_DUPLICATES,
 }

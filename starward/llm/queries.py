@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from starward.llm.bpe import bpe_decode, bpe_encode
 from starward.llm.decontamination import contaminated
+from starward.llm.embeddings import embedding_duplicates
 from starward.llm.language_id import held_out, identify, learn_profiles
 from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
@@ -30,6 +31,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents, profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of vectors with a cosine of 0.9 or more."""
+    return embedding_duplicates(table(spark, folder, "embeddings"), threshold=0.9)
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document."""
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,6 +86,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_embedding_duplicates": op3_embedding_duplicates,
     "op4_token_counts": op4_token_counts,
     "op6_contaminated": op6_contaminated,
     "op7_cut_repeats": op7_cut_repeats,
