@@ -12,6 +12,7 @@ from starward.llm.bpe import bpe_decode, bpe_encode
 from starward.llm.decontamination import contaminated
 from starward.llm.embeddings import embedding_duplicates
 from starward.llm.language_id import held_out, identify, learn_profiles
+from starward.llm.licenses import license_matches, notices
 from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
 from starward.llm.personal_data import KINDS, personal_data, span_list
@@ -31,6 +32,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents, profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in documents."""
+    return license_matches(table(spark, folder, "documents"), notices(spark))
+
+
 def op3_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of vectors with a cosine of 0.9 or more."""
     return embedding_duplicates(table(spark, folder, "embeddings"), threshold=0.9)
@@ -86,6 +92,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_embedding_duplicates": op3_embedding_duplicates,
     "op4_token_counts": op4_token_counts,
     "op6_contaminated": op6_contaminated,
