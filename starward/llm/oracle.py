@@ -81,8 +81,24 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
 """
 
+#: The damage done to the copy. A record has 269 bytes besides the url, the body and
+#: the digits of the length of its payload (the body and 44 bytes).
+WARC_AUDIT = """
+WITH records AS (
+    SELECT page_id, page_id % 211 = 7 AS lost, page_id % 101 = 0 AS damaged,
+           strlen(coalesce(url, '')) + strlen(coalesce(html, '')) AS bytes,
+           len((strlen(coalesce(html, '')) + 44)::VARCHAR) AS digits
+    FROM pages
+)
+SELECT page_id, CASE WHEN lost THEN 'missing' ELSE 'changed' END AS status,
+       (269 + bytes + digits)::BIGINT AS length,
+       CASE WHEN NOT lost THEN (269 + bytes + digits)::BIGINT END AS found_length
+FROM records WHERE lost OR damaged
+"""
+
 ORACLE: dict[str, str] = {
     "op3_embedding_duplicates": EMBEDDING_DUPLICATES,
+    "op5_warc_audit": WARC_AUDIT,
     "op7_cut_repeats": CUT_REPEATS,
     "op8_near_duplicates": NEAR_DUPLICATES,
 }

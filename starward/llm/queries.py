@@ -18,6 +18,7 @@ from starward.llm.oracle import ORACLE
 from starward.llm.personal_data import KINDS, personal_data, span_list
 from starward.llm.repeats import cut_repeats
 from starward.llm.token_counts import token_counts
+from starward.llm.warc import audit, fixity, merkle_tree, warc_records
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +49,24 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), tokenizer)
 
 
+def op5_warc_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What an audit finds in a damaged copy of the archive of all pages.
+
+    In the copy, a byte in the middle of the record differs where the page's id is divisible by
+    101, and records whose id leaves 7 when divided by 211 are lost.
+    """
+    records = warc_records(table(spark, folder, "pages"))
+    middle = F.floor(F.length("record") / 2).cast("int")
+    flipped = F.when(F.substring("record", middle, F.lit(1)) == b"#", F.lit(b"-")).otherwise(F.lit(b"#"))
+    damaged = F.overlay("record", flipped, middle, F.lit(1))
+    copy = records.where("page_id % 211 <> 7").withColumn(
+        "record", F.when(F.col("page_id") % 101 == 0, damaged).otherwise(F.col("record"))
+    )
+    found = audit(merkle_tree(fixity(records)), merkle_tree(fixity(copy)))
+    placed = records.select("page_id", "archive", "place")
+    return found.join(placed, ["archive", "place"]).select("page_id", "status", "length", "found_length")
+
+
 def op6_contaminated(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and the place."""
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -95,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_embedding_duplicates": op3_embedding_duplicates,
     "op4_token_counts": op4_token_counts,
+    "op5_warc_audit": op5_warc_audit,
     "op6_contaminated": op6_contaminated,
     "op7_cut_repeats": op7_cut_repeats,
     "op8_near_duplicates": op8_near_duplicates,
