@@ -215,10 +215,10 @@ def sanitised(documents: DataFrame, found: DataFrame, key: str = "doc_id", text:
     Where spans overlap, the first one stands for both. Texts without spans stay as they are, null
     texts stay null; the other columns are kept.
     """
-    whole = F.col(text)
+    whole = documents[text]
     spans = found.where(F.size("spans") > 0).select(
-        F.col(key).alias("__key"), F.col("text_key").alias("__text"), F.col("spans").alias("__spans")
-    ).dropDuplicates(["__key", "__text"])
+        F.col(key).alias("own_key"), F.col("text_key").alias("own_text"), F.col("spans").alias("own_spans")
+    ).dropDuplicates(["own_key", "own_text"])
     marks = F.array(*[F.lit(f"[{kind}]") for kind in KINDS[:5]], F.lit(""))
 
     def splice(state: Column, span: Column) -> Column:
@@ -232,20 +232,16 @@ def sanitised(documents: DataFrame, found: DataFrame, key: str = "doc_id", text:
 
     start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts"))
     made = F.aggregate(
-        "__spans",
+        spans["own_spans"],
         start,
         splice,
         lambda state: F.concat(
             F.array_join(state["parts"], ""), F.substring(whole, state["upto"] + 1, F.length(whole))
         ),
     )
-    return documents.join(
-        spans,
-        F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.coalesce(whole, F.lit(""))) == F.col("__text")),
-        "left",
-    ).select(
-        *[
-            F.when(F.col("__spans").isNull(), whole).otherwise(made).alias(text) if name == text else F.col(name)
-            for name in documents.columns
-        ]
+    replaced = F.when(spans["own_spans"].isNull(), whole).otherwise(made).alias(text)
+    hashed = F.xxhash64(F.coalesce(whole, F.lit("")))
+    same = documents[key].eqNullSafe(spans["own_key"]) & (hashed == spans["own_text"])
+    return documents.join(spans, same, "left").select(
+        *[replaced if name == text else documents[name] for name in documents.columns]
     )
