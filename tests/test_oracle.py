@@ -7,8 +7,10 @@ import pytest
 from conftest import SAMPLES
 
 import __spark_entry__ as entry_points
+from starward.plans import catalogue
 
-QUERIES, EXPECTED = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {name: entry_points.queries()[name] for name in catalogue.QUESTIONS}
+EXPECTED = entry_points.oracle_sql()
 FOLDER = str(SAMPLES / "sf0.01")
 
 
@@ -20,7 +22,7 @@ def duck():
 
 
 def test_every_query_has_an_expected_result():
-    assert QUERIES.keys() == EXPECTED.keys()
+    assert QUERIES.keys() <= EXPECTED.keys() <= entry_points.queries().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)
