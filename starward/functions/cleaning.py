@@ -4,7 +4,8 @@ Every function is a ``Column -> Column`` expression of built-ins, so it runs ins
 whole-stage codegen over whole tables.
 
 ``strict`` decides what happens to text that passes the format check but has no value of
-the target type (``1.2.3``, a count beyond 32 bits, a date that is no date): strict raises
+the target type (``1.2.3``, more decimals than are stored, a count beyond 32 bits, a date that
+is no date): strict raises
 and stops the job, tolerant gives NULL and leaves the counting to the reject report.
 The strict error is raised explicitly, so it does not depend on the session's ANSI setting.
 """
@@ -24,11 +25,18 @@ ID_WIDTH = 6
 
 # \z and not $, which in Java also matches before a final newline.
 LOOKS_NUMERIC = r"^-?[0-9.]+\z"
+# More decimals than the stored type has, not all of them zero.
+LOSES_DIGITS = r"\.[0-9]{10}[0-9]*[1-9]"
 LOOKS_COUNT = r"^[0-9]+\z"
 
 
+def zero_padded(c: Column, width: int) -> Column:
+    """At least ``width`` characters; longer text stays whole."""
+    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+
+
 def pad_id(c: Column) -> Column:
-    return F.lpad(c, ID_WIDTH, "0")
+    return zero_padded(c, ID_WIDTH)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -47,7 +55,9 @@ def _convert(text: Column, applies: Column, converted: Column, what: str, strict
 
 
 def to_number(c: Column, strict: bool = True) -> Column:
-    return _convert(c, c.rlike(LOOKS_NUMERIC), c.try_cast(NUMBER), "number", strict)
+    """Exact: a number with more decimals than are stored is not rounded but refused."""
+    exact = F.when(~c.rlike(LOSES_DIGITS), c.try_cast(NUMBER))
+    return _convert(c, c.rlike(LOOKS_NUMERIC), exact, "number", strict)
 
 
 def _without_commas(c: Column) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starward.functions.cleaning import pad_id, zero_padded
 from starward.sources.schemas import RAW_COLUMNS
 
 # Fixed values of the sample data.
@@ -91,7 +92,7 @@ def _hospital_info(customer: DataFrame) -> DataFrame:
     for bound, stars in RATING_STEPS:
         rating = rating.when(balance < bound, stars)
     return customer.select(
-        F.when(key % 3 == 0, _text(key)).otherwise(F.lpad(_text(key), 6, "0")).alias("facility_id"),
+        F.when(key % 3 == 0, _text(key)).otherwise(pad_id(_text(key))).alias("facility_id"),
         F.col("c_name").alias("facility_name"),
         F.concat(F.lit("City "), _text(key % 97)).alias("city_town"),
         F.substring(F.lit(STATES), F.col("c_nationkey") * 2 + 1, F.lit(2)).alias("state"),
@@ -137,7 +138,7 @@ def _spending(orders: DataFrame) -> DataFrame:
 def _complications(by_priority: DataFrame, spark: SparkSession) -> DataFrame:
     cents, prio = F.col("cents"), F.col("prio")
     real = by_priority.select(
-        F.lpad(_text(F.col("o_custkey")), 6, "0").alias("facility_id"),
+        pad_id(_text(F.col("o_custkey"))).alias("facility_id"),
         _pick(prio, COMPLICATION_MEASURES, "COMP_HIP_KNEE").alias("measure_id"),
         F.concat(F.lit("Complication measure "), prio).alias("measure_name"),
         _pick(cents % 5, dict(enumerate(NATIONAL_RATE)), "").alias("compared_to_national"),
@@ -195,7 +196,7 @@ def _unplanned_visits(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
     flags, cents, n = F.col("flags"), F.col("cents"), F.col("n")
     return grouped.select(
-        F.lpad(_text(F.col("o_custkey")), 6, "0").alias("facility_id"),
+        pad_id(_text(F.col("o_custkey"))).alias("facility_id"),
         _pick(flags, VISIT_MEASURES, "Hybrid_HWR").alias("measure_id"),
         F.concat(F.lit("Visit measure "), flags).alias("measure_name"),
         F.lit("Not Available").alias("compared_to_national"),
@@ -203,7 +204,7 @@ def _unplanned_visits(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         F.when(flags == "RO", "Not Available")
         .otherwise(_hundredths(cents % 1200 + 1500))
         .alias("score"),
-        F.concat(F.lit("1,"), F.lpad(_text(n), 3, "0")).alias("number_of_patients"),
+        F.concat(F.lit("1,"), zero_padded(_text(n), 3)).alias("number_of_patients"),
         F.lit("Not Applicable").alias("number_of_patients_returned"),
         F.when(flags == "RO", "5").otherwise("").alias("footnote"),
         F.lit("07/01/2021").alias("start_date"),

@@ -17,7 +17,7 @@ def apply(spark, values, expression):
 
 def test_ids_are_padded_and_long_ids_reported(spark):
     ids = ["10001", "010001", "1234567"]
-    assert apply(spark, ids, clean.pad_id) == ["010001", "010001", "123456"]
+    assert apply(spark, ids, clean.pad_id) == ["010001", "010001", "1234567"]
     assert apply(spark, ids, clean.id_rejected) == [False, False, True]
 
 
@@ -33,7 +33,7 @@ def test_numbers(spark):
     assert apply(spark, values, clean.to_number) == expected
 
 
-@pytest.mark.parametrize("text", ["1.2.3", ".", "123456789012"])
+@pytest.mark.parametrize("text", ["1.2.3", ".", "123456789012", "0.12345678901"])
 def test_text_that_only_looks_numeric(spark, text):
     with pytest.raises(Exception, match="not a valid number"):
         apply(spark, [text], clean.to_number)
