@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 from starward.sources.shared import write_shared
 
-# Lookup tables up to this many rows are broadcast.
-BROADCAST_ROWS = 100_000
+# Lookup tables of up to this many bytes are broadcast.
+BROADCAST_BYTES = 16 << 20
 # In a shuffle join, a key that holds more than 1/HOT_SHARE of the rows is joined on its own.
 HOT_SHARE = 1000
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the values of a table: text as it is, eight for anything else."""
+    widths = [
+        F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8)
+        for f in df.schema
+    ]
+    return df.agg(F.sum(reduce(lambda a, b: a + b, widths).cast("long"))).first()[0] or 0
+
+
 def join_lookup(
     df: DataFrame,
     lookup: DataFrame,
@@ -24,13 +33,12 @@ def join_lookup(
 ) -> DataFrame:
     """Join (``inner`` or ``left``) with a stored table that has one row per key.
 
-    The lookup is counted, which reads only file footers, and broadcast if it is small. A
-    larger one is joined by shuffle, in three parts: rows of hot keys, of which there are
+    The lookup is measured, which scans it once, and broadcast if it is small. A larger one is joined by shuffle, in three parts: rows of hot keys, of which there are
     fewer than HOT_SHARE, stay where they are and meet a broadcast of just those keys; rows
     with a NULL key match nothing and do not move; the rest is even enough to be shuffled.
     ``weights`` (key columns and ``n``) saves counting the rows per key here.
     """
-    if lookup.count() <= BROADCAST_ROWS:
+    if measured_bytes(lookup) <= BROADCAST_BYTES:
         return df.join(F.broadcast(lookup), on, how)
 
     if weights is None:

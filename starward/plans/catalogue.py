@@ -128,10 +128,8 @@ def star_table(star: Star, table: str) -> DataFrame:
 
 
 def scan_csv(star: Star, source: str) -> DataFrame:
-    """The raw source written as CSV and scanned back."""
-    path = f"{shared_folder(star.spark)}/starward/csv-{source}-{uuid.uuid4().hex}"
-    star.raw[source].write.options(header=True, escape='"').csv(path)
-    return read_source(star.spark, source, path)
+    """The raw source, written as CSV once per star, scanned back."""
+    return read_source(star.spark, source, star.csv_path(source))
 
 
 def spending_quartiles(star: Star) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starward.functions import cleaning as clean
 from starward.functions.measures import rows, rows_where
@@ -74,28 +75,50 @@ def _one_row_each(df: DataFrame, structs: list[Column]) -> DataFrame:
     return df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
 
+# SQL names of the stored types.
+SQL_NAMES = {
+    "string": "text",
+    "boolean": "boolean",
+    "smallint": "smallint",
+    "int": "integer",
+    "bigint": "bigint",
+    "decimal(20,10)": "numeric",
+    "date": "date",
+    "timestamp": "timestamp without time zone",
+}
+
+
+def _stored_type(stored: T.DataType, declared: str) -> str:
+    """The SQL name of a stored type. Text of declared width is stored as text."""
+    name = SQL_NAMES.get(stored.simpleString(), stored.simpleString())
+    return declared if (name, declared) == ("text", "character") else name
+
+
 def column_audit(star: Star) -> DataFrame:
-    """Declared type, NULLs and distinct values of every column that is not plain text."""
+    """Stored type, NULLs and distinct values of every column that is not plain text.
+
+    The types are those of the files. Each column is counted from a grouping by that column.
+    """
     parts = []
     for table, fields in STAR_FIELDS.items():
-        typed = [(i, f) for i, f in enumerate(fields, 1) if f.kind != "text"]
-        if typed:
-            parts.append(
-                _one_row_each(
-                    star[table],
-                    [
-                        F.struct(
-                            F.lit(table).alias("table_name"),
-                            F.lit(position).alias("ordinal_position"),
-                            F.lit(f.name).alias("column_name"),
-                            F.lit(f.kind).alias("data_type"),
-                            rows_where(F.col(f.name).isNull()).alias("null_rows"),
-                            F.countDistinct(f.name).alias("distinct_values"),
-                        )
-                        for position, f in typed
-                    ],
+        stored = star.stored_schema(table)
+        for position, f in enumerate(fields, 1):
+            if f.kind != "text":
+                values = star[table].groupBy(F.col(f.name).alias("v")).agg(rows().alias("n"))
+                null_rows = F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0))
+                parts.append(
+                    values.agg(
+                        F.coalesce(null_rows, F.lit(0)).alias("null_rows"),
+                        F.count("v").alias("distinct_values"),
+                    ).select(
+                        F.lit(table).alias("table_name"),
+                        F.lit(position).alias("ordinal_position"),
+                        F.lit(f.name).alias("column_name"),
+                        F.lit(_stored_type(stored[f.name].dataType, f.kind)).alias("data_type"),
+                        "null_rows",
+                        "distinct_values",
+                    )
                 )
-            )
     return _union(parts).orderBy("table_name", "ordinal_position")
 
 
@@ -251,7 +274,7 @@ CONVERTED = {
 def rejected_text(star: Star) -> DataFrame:
     """Per source and column: values that are neither usable nor a known 'no value' text.
 
-    Cleaning turns such values into NULL (or shortens them, for ids); this says how many.
+    Cleaning turns such values into NULL (too long ids stay as they are); this says how many.
     """
     parts = []
     for source, tests in CONVERTED.items():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from starward.functions.measures import rows
 from starward.plans import star as build
 from starward.plans.checks import CONSTRAINTS
-from starward.plans.warehouse import Star, bucket_count, publish
+from starward.plans.warehouse import Star, bucket_count, publish, stored_bytes
 from starward.sources.csv_files import read_folder, source_paths
 from starward.sources.schemas import DATASETS
 from starward.sources.shared import run_together
@@ -30,7 +30,7 @@ def load_log(star: Star, files: Mapping[str, str]) -> DataFrame:
             F.lit(d.dataset_id).alias("dataset_id"),
             F.lit(d.title).alias("title"),
             F.lit(files.get(d.source, d.file_name)).alias("local_file"),
-            F.col("n").cast("int").alias("rows_loaded"),
+            F.col("n").alias("rows_loaded"),
             F.current_timestamp().alias("loaded_at"),
         )
         for d in DATASETS
@@ -51,19 +51,38 @@ def load(
     """Always a full rebuild, into a new version folder.
 
     The raw text is staged first, so each source is parsed once and every later step reads
-    only the columns it needs. The previous version stays current unless all checks pass.
+    only the columns it needs. The previous version stays current unless all checks pass; a
+    version that is not published is removed.
     """
     spark = next(iter(raws.values())).sparkSession
     star = Star(spark, root.rstrip("/"), uuid.uuid4().hex[:12], buckets or 1)
+    try:
+        _build(star, raws, files or {}, strict, buckets)
+    except Exception:
+        star.discard()
+        raise
+    publish(star)
+    return star
+
+
+def _build(
+    star: Star,
+    raws: Mapping[str, DataFrame],
+    files: Mapping[str, str],
+    strict: bool,
+    buckets: int | None,
+) -> None:
+    spark = star.spark
     run_together(lambda source: star.write_raw(source, raws[source]), raws)
     if buckets is None:
-        star.buckets = bucket_count(max(df.count() for df in star.raw.values()))
+        largest = max(stored_bytes(df) for df in star.raw.values())
+        star.buckets = bucket_count(largest, spark.sparkContext.defaultParallelism)
 
     dimensions = {
         "dim_hospital": lambda: build.dim_hospital(star.raw["hospital_info"]),
         "dim_measure": lambda: build.dim_measure(star.raw),
         "dim_period": lambda: build.dim_period(star.raw, strict),
-        "load_log": lambda: load_log(star, files or {}),
+        "load_log": lambda: load_log(star, files),
     }
     run_together(lambda table: star.write_table(table, dimensions[table]()), dimensions)
     sources = {d.table: d.source for d in DATASETS}
@@ -86,8 +105,6 @@ def load(
                 f"{r.table_name}({r.column_names}): {r.check_name}, {r.violations}" for r in broken
             )
         )
-    publish(star)
-    return star
 
 
 def load_csv_folder(

@@ -2,48 +2,71 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from starward.plans.warehouse import Star
-from starward.sources.shared import run_together
+from starward.sources.shared import run_together, temporary_tables
 
+_POINTER = "version string, row_count bigint, published_at timestamp"
 
-def _rows_stored(star: Star, path: str) -> int | None:
-    """Row count from the file footers; None if there is nothing at ``path``."""
+
+def _current(spark: SparkSession, folder: str, name: str) -> Row | None:
+    """The version of a result published last, if there is one."""
     try:
-        return star.spark.read.schema("_ string").parquet(path).count()
+        versions = spark.read.schema(_POINTER).parquet(f"{folder.rstrip('/')}/{name}/published")
+        return versions.orderBy(F.desc("published_at")).first()
     except AnalysisException:
         return None
 
 
+def published_result(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The result of a question as published last; later versions do not disturb its readers."""
+    row = _current(spark, folder, name)
+    if row is None:
+        raise LookupError(f"no published result: {name}")
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}/{row.version}")
+
+
 def publish_questions(
     star: Star,
     questions: Mapping[str, Callable[[Star], DataFrame]],
     folder: str,
     overwrite: bool = False,
 ) -> DataFrame:
-    """Run each question once and write its result to ``folder/name``.
+    """Run each question once and publish its result under ``folder/name``.
 
     Gives one row per question: created, updated, kept (already there, not overwritten) or
-    failed, with the rows stored. A question that fails is recorded and does not stop the rest.
+    failed, with the rows stored. A result is written to a folder of its own and counts only once
+    a row that points at it has been appended, so what an interrupted or failed run leaves is
+    never taken for a result and readers keep theirs. A question that fails is recorded and does
+    not stop the rest. Intermediate tables of a question go when its result is stored.
     """
+    spark = star.spark
 
     def materialise(name: str) -> tuple:
-        path = f"{folder.rstrip('/')}/{name}"
         try:
-            before = _rows_stored(star, path)
+            before = _current(spark, folder, name)
             if before is not None and not overwrite:
-                return name, "kept", before, None
-            questions[name](star).write.mode("overwrite").parquet(path)
-            status = "created" if before is None else "updated"
-            return name, status, _rows_stored(star, path), None
+                return name, "kept", before.row_count, None
+            place, version = f"{folder.rstrip('/')}/{name}", uuid.uuid4().hex[:12]
+            with temporary_tables(spark):
+                questions[name](star).write.parquet(f"{place}/{version}")
+            stored = spark.read.schema("_ string").parquet(f"{place}/{version}").count()
+            spark.range(1).select(
+                F.lit(version).alias("version"),
+                F.lit(stored).cast("bigint").alias("row_count"),
+                F.current_timestamp().alias("published_at"),
+            ).write.mode("append").parquet(f"{place}/published")
+            return name, "created" if before is None else "updated", stored, None
         except Exception as error:  # whatever went wrong belongs to this question
             return name, "failed", None, str(error).splitlines()[0]
 
-    return star.spark.createDataFrame(
+    return spark.createDataFrame(
         run_together(materialise, questions),
         "name string, status string, row_count bigint, error string",
     )

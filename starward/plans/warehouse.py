@@ -13,22 +13,31 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starward.functions.measures import SPENDING
 from starward.operators.ordering import global_ntile
 from starward.sources.schemas import FACTS, RAW_COLUMNS, STAR_FIELDS, raw_schema, star_schema
+from starward.sources.shared import delete_folder
 
 BUCKETED = ["dim_hospital", *FACTS]
 SORTED_BY = {
     "dim_hospital": ["facility_id"],
     **{fact: ["measure_id", "facility_id"] for fact in FACTS},
 }
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 20_000
+#: Stored bytes of the largest source in one bucket.
+BYTES_PER_BUCKET = 128 << 20
 
 
-def bucket_count(rows: int) -> int:
-    return min(MAX_BUCKETS, max(1, -(-rows // ROWS_PER_BUCKET)))
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a stored table; reads no column."""
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.agg(F.sum("file_size")).first()[0] or 0
+
+
+def bucket_count(stored: int, cores: int) -> int:
+    """As many buckets as the bytes ask for, and work for every core."""
+    return max(cores, -(-stored // BYTES_PER_BUCKET))
 
 
 def write_bucketed(df: DataFrame, path: str, name: str, buckets: int, sort_by: list[str]) -> None:
@@ -76,6 +85,7 @@ class Star:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     raw: dict[str, DataFrame] = field(default_factory=dict)
     _quartiles: DataFrame | None = None
+    _csv: set[str] = field(default_factory=set)
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def __getitem__(self, table: str) -> DataFrame:
@@ -106,6 +116,25 @@ class Star:
             )
         return self.tables[table]
 
+    def stored_schema(self, table: str) -> T.StructType:
+        """The types in the files, whatever the table declares."""
+        return self.spark.read.parquet(self.path(table)).schema
+
+    def csv_path(self, source: str) -> str:
+        """The raw source as a CSV folder, written at the first call."""
+        path = self.path(f"csv_{source}")
+        with self._lock:
+            if source not in self._csv:
+                self.raw[source].write.options(header=True, escape='"').mode("overwrite").csv(path)
+                self._csv.add(source)
+        return path
+
+    def discard(self) -> None:
+        """Remove the version: its catalog entries and its folder."""
+        for row in self.spark.sql(f"SHOW TABLES LIKE '{table_name(self.version, '*')}'").collect():
+            self.spark.sql(f"DROP TABLE IF EXISTS {row.tableName}")
+        delete_folder(self.spark, f"{self.root}/{self.version}")
+
     def write_raw(self, source: str, df: DataFrame) -> DataFrame:
         df.write.parquet(self.path(f"raw_{source}"))
         return self.open_raw(source)
@@ -155,12 +184,28 @@ def publish(star: Star) -> None:
     ).write.mode("append").parquet(_published_path(star.root))
 
 
+def _published(spark: SparkSession, root: str) -> DataFrame:
+    """The published versions, the newest first."""
+    versions = spark.read.schema("version string, buckets int, published_at timestamp")
+    return versions.parquet(_published_path(root)).orderBy(F.desc("published_at"))
+
+
+def prune(spark: SparkSession, root: str, keep: int) -> list[str]:
+    """Remove all published versions but the newest ``keep``; gives the removed ones.
+
+    Readers of a removed version lose it, so keep as many as may still be in use. The driver
+    sees one short row per version.
+    """
+    root = root.rstrip("/")
+    old = _published(spark, root).collect()[max(keep, 1) :]
+    for row in old:
+        Star(spark, root, row.version, row.buckets).discard()
+    return [row.version for row in old]
+
+
 def open_star(spark: SparkSession, root: str) -> Star:
     """The version published last under ``root``."""
-    published = spark.read.schema("version string, buckets int, published_at timestamp").parquet(
-        _published_path(root)
-    )
-    row = published.orderBy(F.desc("published_at")).first()
+    row = _published(spark, root).first()
     star = Star(spark, root, row["version"], row["buckets"])
     for source in RAW_COLUMNS:
         star.open_raw(source)

@@ -209,7 +209,7 @@ STAR_FIELDS: dict[str, list[Field]] = {
         Field("dataset_id", required=True),
         Field("title"),
         Field("local_file"),
-        Field("rows_loaded", "integer"),
+        Field("rows_loaded", "bigint"),
         Field("loaded_at", "timestamp without time zone"),
     ],
 }
@@ -220,6 +220,7 @@ _SPARK_TYPES = {
     "boolean": T.BooleanType(),
     "smallint": T.ShortType(),
     "integer": T.IntegerType(),
+    "bigint": T.LongType(),
     "numeric": T.DecimalType(20, 10),
     "date": T.DateType(),
     "timestamp without time zone": T.TimestampType(),

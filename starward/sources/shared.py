@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it is; none there is fine."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_scope = threading.local()
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """What ``write_shared`` writes in this thread meanwhile goes at the end.
+
+    For work whose result is stored elsewhere by then: DataFrames over the tables end with them.
+    """
+    outer, _scope.made = getattr(_scope, "made", None), []
+    try:
+        yield
+    finally:
+        made, _scope.made = _scope.made, outer
+        for path in made:
+            delete_folder(spark, path)
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
     """Materialise once: later reads see the same rows and survive the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/starward/{label}-{uuid.uuid4().hex}"
+    if (made := getattr(_scope, "made", None)) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,13 +4,17 @@ import datetime
 
 import pytest
 import small
+from conftest import SAMPLES
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starward.plans import checks, explore
-from starward.plans.load import LoadRejected, load_csv_folder
-from starward.plans.warehouse import bucket_count, open_star, table_name
+from starward.plans.catalogue import scan_csv
+from starward.plans.load import LoadRejected, load, load_csv_folder, load_log
+from starward.plans.warehouse import BYTES_PER_BUCKET, bucket_count, open_star, prune, stored_bytes, table_name
 from starward.sources.csv_files import source_paths
-from starward.sources.schemas import STAR_FIELDS, STAR_TABLES, star_schema
+from starward.sources.sample_tables import raw_sources
+from starward.sources.schemas import DATASETS, FACTS, STAR_FIELDS, STAR_TABLES, star_schema
 from starward.sources.shared import shared_folder
 
 
@@ -205,10 +209,83 @@ def test_audit_lists_every_typed_column_in_order(sample_star):
     assert found == expected
 
 
-def test_bucket_count_follows_the_rows():
-    assert bucket_count(0) == bucket_count(1_000_000) == 1
-    assert bucket_count(1_000_001) == 2
-    assert bucket_count(10**12) == 20_000
+def test_bucket_count_follows_the_bytes_and_the_cores():
+    assert bucket_count(0, 8) == bucket_count(8 * BYTES_PER_BUCKET, 8) == 8
+    assert bucket_count(8 * BYTES_PER_BUCKET + 1, 8) == 9
+    assert bucket_count(100 * 10**12, 8) > 700_000
+
+
+def test_the_load_uses_all_cores(spark, tmp_path):
+    star = load(raw_sources(spark, str(SAMPLES / "sf0.001")), str(tmp_path))
+    assert star.buckets == spark.sparkContext.defaultParallelism
+    assert stored_bytes(star.raw["spending"]) > 0
+
+
+def test_a_wrong_stored_type_turns_the_audit_red(spark, sample_star, tmp_path):
+    class Wrong:
+        def __getitem__(self, table):
+            return sample_star[table]
+
+        def stored_schema(self, table):
+            schema = sample_star.stored_schema(table)
+            if table == "dim_hospital":
+                schema["state"].dataType = T.IntegerType()
+                schema["overall_rating"].dataType = T.DoubleType()
+            return schema
+
+    found = {(r.table_name, r.column_name): r.data_type for r in checks.column_audit(Wrong()).collect()}
+    assert found["dim_hospital", "state"] == "integer"
+    assert found["dim_hospital", "overall_rating"] == "double"
+
+
+def test_row_counts_beyond_32_bits(spark):
+    class Counted:
+        def agg(self, *_):
+            return spark.range(1).select(F.lit(3_000_000_000).alias("n"))
+
+    class Big:
+        raw = {d.source: Counted() for d in DATASETS}
+
+    log = load_log(Big(), {})
+    assert log.schema["rows_loaded"].dataType == star_schema("load_log")["rows_loaded"].dataType
+    assert {r.rows_loaded for r in log.collect()} == {3_000_000_000}
+
+
+def test_ids_of_seven_digits_stay_apart(spark, tmp_path):
+    raws = raw_sources(spark, str(SAMPLES / "sf0.001"))
+
+    def longer(df):
+        bare = F.regexp_replace("facility_id", "^0+", "")
+        ids = F.when(bare == "1", "150000").when(bare == "2", "1500000").otherwise(F.col("facility_id"))
+        return df.withColumn("facility_id", ids)
+
+    before = load(raws, str(tmp_path / "a"))
+    after = load({name: longer(df) for name, df in raws.items()}, str(tmp_path / "b"))
+    for table in ("dim_hospital", *FACTS):
+        for old, new in (("000001", "150000"), ("000002", "1500000")):
+            rows = after[table].where(F.col("facility_id") == new).count()
+            assert rows == before[table].where(F.col("facility_id") == old).count()
+        assert after[table].count() == before[table].count()
+
+
+def test_versions_go(spark, tmp_path):
+    raws, root = raw_sources(spark, str(SAMPLES / "sf0.001")), tmp_path / "star"
+    stars = [load(raws, str(root), buckets=2) for _ in range(3)]
+    broken = dict(raws, hospital_info=raws["hospital_info"].union(raws["hospital_info"]))
+    with pytest.raises(LoadRejected):
+        load(broken, str(root), buckets=2)
+    assert {p.name for p in root.iterdir()} == {"published", *(s.version for s in stars)}
+    assert prune(spark, str(root), 2) == [stars[0].version]
+    assert {p.name for p in root.iterdir()} == {"published", *(s.version for s in stars[1:])}
+    assert open_star(spark, str(root)).version == stars[2].version
+    names = [r.tableName for r in spark.sql("SHOW TABLES").collect()]
+    assert not any(stars[0].version in name for name in names)
+
+
+def test_the_raw_csv_is_written_once(sample_star):
+    assert sample_star.csv_path("spending") == sample_star.csv_path("spending")
+    first = scan_csv(sample_star, "spending").inputFiles()
+    assert scan_csv(sample_star, "spending").inputFiles() == first
 
 
 def test_shared_folder_is_the_configured_one(spark):

@@ -60,16 +60,16 @@ def test_ntile_equals_window(spark, conf, size, hot, tiles):
 
 
 def test_ntile_of_distinct_values(spark, coalescing, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     df = table(spark, 1001, distinct=10**6, hot=0)
     expected = df.withColumn("t", F.ntile(4).over(Window.orderBy("v", "id")))
     assert same(global_ntile(df, 4, "v", "id", "t"), expected)
 
 
-@pytest.mark.parametrize("broadcast_rows", [joins.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("broadcast_rows", [joins.BROADCAST_BYTES, 0])
 @pytest.mark.parametrize("size", [0, 1, 503])
 def test_ranks_equal_window(spark, monkeypatch, size, broadcast_rows):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast_rows)
     monkeypatch.setattr(joins, "HOT_SHARE", 5)
     df = table(spark, size)
     window = Window.orderBy("v")
@@ -113,7 +113,7 @@ def test_percentiles_equal_the_builtin(spark, coalescing, size):
 @pytest.mark.parametrize("how", ["inner", "left"])
 @pytest.mark.parametrize("broadcast_rows", [100, 0])
 def test_lookup_join_with_hot_and_null_keys(spark, monkeypatch, how, broadcast_rows):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", broadcast_rows)
     monkeypatch.setattr(joins, "HOT_SHARE", 4)
     rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 20}") for i in range(300)]
     df = spark.createDataFrame(rows, "id int, k string")

@@ -1,8 +1,15 @@
 from __future__ import annotations
 
-from starward.plans import explore
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from starward.plans import explore, job
 from starward.plans.catalogue import DASHBOARD, HEADLINE
-from starward.plans.publish import publish_questions
+from starward.plans.publish import publish_questions, published_result
+from starward.sources.shared import shared_folder
+from starward.sources.csv_files import source_paths
 
 
 def status(df):
@@ -26,5 +33,43 @@ def test_created_kept_updated_failed(spark, sample_star, tmp_path):
     assert status(again)["stars"] == ("kept", 6)
     forced = publish_questions(sample_star, questions, folder, overwrite=True)
     assert status(forced)["stars"] == ("updated", 6)
-    stored = spark.read.parquet(f"{folder}/stars")
+    stored = published_result(spark, folder, "stars")
     assert stored.exceptAll(explore.star_distribution(sample_star)).count() == 0
+
+
+def test_what_failed_while_running_is_run_again(spark, sample_star, tmp_path):
+    def failing(star):
+        return star["dim_hospital"].select(F.raise_error(F.lit("stop")).cast("int").alias("x"))
+
+    folder = str(tmp_path)
+    assert status(publish_questions(sample_star, {"q": failing}, folder))["q"] == ("failed", None)
+    with pytest.raises(LookupError):
+        published_result(spark, folder, "q")
+    good = publish_questions(sample_star, {"q": explore.star_distribution}, folder)
+    assert status(good)["q"] == ("created", 6)
+    worse = publish_questions(sample_star, {"q": failing}, folder, overwrite=True)
+    assert status(worse)["q"] == ("failed", None)
+    assert published_result(spark, folder, "q").count() == 6
+
+
+def test_readers_keep_their_version(spark, sample_star, tmp_path):
+    folder, question = str(tmp_path), {"q": explore.star_distribution}
+    publish_questions(sample_star, question, folder)
+    reader = published_result(spark, folder, "q")
+    publish_questions(sample_star, {"q": lambda star: star["dim_hospital"].limit(2)}, folder, overwrite=True)
+    assert reader.count() == 6 and published_result(spark, folder, "q").count() == 2
+
+
+def test_publishing_leaves_no_intermediate_tables(spark, sample_star, tmp_path):
+    place = Path(shared_folder(spark).removeprefix("file:")) / "starward"
+    before = set(place.iterdir()) if place.exists() else set()
+    publish_questions(sample_star, {"spread": DASHBOARD["metric_spread"]}, str(tmp_path))
+    assert (set(place.iterdir()) if place.exists() else set()) == before
+
+
+def test_the_job_loads_checks_and_publishes(spark, sample_star, tmp_path, capsys):
+    for source, path in source_paths(str(tmp_path / "csv")).items():
+        sample_star.raw[source].write.options(header=True, escape='"').csv(path)
+    job.main([str(tmp_path / x) for x in ("csv", "star", "results")])
+    assert "failed" not in capsys.readouterr().out
+    assert published_result(spark, str(tmp_path / "results"), "star_distribution").count() == 6
