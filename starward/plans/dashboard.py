@@ -44,6 +44,7 @@ from starward.operators.ordering import global_ranks
 from starward.operators.statistics import exact_percentiles, measure_columns, with_share
 from starward.plans.explore import survey_stars
 from starward.plans.warehouse import Star
+from starward.sources.shared import write_shared
 
 
 def scores(star: Star, fact: str, measure: str, name: str, *more: str) -> DataFrame:
@@ -206,6 +207,7 @@ def metric_spread(star: Star) -> DataFrame:
         DataFrame.unionByName,
         [df.select(F.lit(name).alias("metric"), "metric_value") for name, df in metrics.items()],
     )
+    long = write_shared(long, "metrics")  # read by the basics and by the percentiles
     basics = long.groupBy("metric").agg(
         rows().alias("hospitals"),
         mean(value, 3).alias("mean_value"),
@@ -237,6 +239,7 @@ def readmission_spread_by_quartile(star: Star) -> DataFrame:
         .select("facility_id", "quartile")
         .join(hf_readmissions(star, "score"), "facility_id")
     )
+    joined = write_shared(joined.select("quartile", "score"), "quartile-scores")
     basics = joined.groupBy("quartile").agg(
         F.count(score).alias("hospitals"),
         rounded(F.min(score), 2).alias("min_pct"),
@@ -282,11 +285,14 @@ def spread_within_states(star: Star, minimum: int = 10) -> DataFrame:
 
 
 def readmission_points(star: Star, minimum_cases: int = 150) -> DataFrame:
-    """(hospital columns, ratio, rate) of hospitals with enough cases, types as stored."""
+    """(hospital columns, ratio, rate) of hospitals with enough cases, types as stored.
+
+    Written once, since ranks, correlation and the final sort all read them.
+    """
     enough = scores(
         star, "fact_unplanned_visits", HF_READMISSION, "hf_readmission_pct", "denominator"
     ).where(F.col("denominator") >= minimum_cases)
-    return (
+    points = (
         star.spending()
         .join(enough.drop("denominator"), "facility_id")
         .join(
@@ -294,6 +300,7 @@ def readmission_points(star: Star, minimum_cases: int = 150) -> DataFrame:
             "facility_id",
         )
     )
+    return write_shared(points, "points")
 
 
 def readmission_point_columns(points: DataFrame, *more) -> DataFrame:

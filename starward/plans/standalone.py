@@ -16,6 +16,7 @@ from starward.functions.measures import (
 from starward.plans import dashboard as d
 from starward.plans.explore import survey_stars
 from starward.plans.warehouse import Star
+from starward.sources.shared import write_shared
 
 # '_' is a wildcard in these two patterns.
 READMISSIONS = "READM_30_%"
@@ -36,7 +37,9 @@ def best_value_hospitals(star: Star, best: int = 3) -> DataFrame:
     pairs of a state: the first ``best`` pairs are enough, and what is broadcast is ``best``
     rows for each two-letter state code.
     """
-    rated = star.spending().join(d.hospitals(star, "state", "overall_rating"), "facility_id")
+    rated = write_shared(
+        star.spending().join(d.hospitals(star, "state", "overall_rating"), "facility_id"), "rated"
+    )
     state_means = rated.groupBy("state").agg(F.avg(ratio()).alias("state_mean"))
     pair = ["state", "mspb_ratio", "overall_rating"]
     order = Window.partitionBy("state").orderBy("mspb_ratio", F.desc("overall_rating"))
@@ -54,15 +57,8 @@ def best_value_hospitals(star: Star, best: int = 3) -> DataFrame:
     )
     readmissions = d.hf_readmissions(star)
     return (
-        star.spending()
-        .join(
-            d.hospitals(
-                star,
-                *"facility_name city_town county_parish zip_code state overall_rating".split(),
-            ),
-            "facility_id",
-        )
-        .join(F.broadcast(ranked_pairs), pair)
+        rated.join(F.broadcast(ranked_pairs), pair)
+        .join(d.hospitals(star, *"facility_name city_town county_parish zip_code".split()), "facility_id")
         .join(readmissions, "facility_id", "left")
         .orderBy("state", "value_rank", "facility_id")
         .select(
