@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starward.llm.packing import stored
 from starward.sources.shared import write_shared
 
 
@@ -35,13 +37,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges are aggregated before the shuffle, and their joins can be split.
     """
     now = write_shared(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    seen = None
+    seen, width = None, 16
     while True:
         state = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
         stars = _small_star(_large_star(now).where("a <> b").distinct())
-        now = write_shared(stars.where("a <> b").distinct(), "edges")
+        now = stored(stars.where("a <> b").distinct(), "edges", 2 * state[0], width)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def local_roots(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """The smallest place reachable from each of ``nodes`` places by the links a-b, in one task."""
+    root, before = np.arange(nodes), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+    return root

@@ -6,13 +6,17 @@
 2. Documents with equal sets fall into classes; only their smallest ids go on.
 3. Bands of registers find candidates. Each member of a band is checked with the band's smallest
    document. Linked documents form components, and only bands whose members are in different
-   components are looked into again, each pair across components. So a group of thousands of near
-   copies costs one check per member, and no link between different components is lost.
+   components are looked into again: their members are compared with each other inside tasks, in
+   blocks of bounded size, first by registers and then, if a partner is likely, by full sets; only
+   the links that join components leave the task. So a group of thousands of near copies costs
+   one check per member, no link between different components is lost, and no list of pairs is
+   made.
 4. A pair is checked on the full sets if its sizes allow the similarity and the estimate from the
    registers, corrected for chance collisions, is not far below it.
 
 The number of bands follows from the threshold so that a pair exactly at it is missed with
-probability ``MISS`` at most; the estimate may fall short by ``SIGMAS`` standard errors.
+probability ``MISS`` at most; the estimate may fall short by ``SIGMAS`` standard errors. Sets so
+small that one element more is too much can only equal others and stay out of the bands.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starward.llm.components import connected_components
+from starward.llm.components import connected_components, local_roots
+from starward.llm.packing import stored
 from starward.llm.word_hashes import Words, mix
 from starward.sources.shared import write_shared
 
-ROWS, MISS, SIGMAS, MANTISSA = 6, 1e-6, 6, 10
+ROWS, MISS, SIGMAS, MANTISSA = 8, 1e-6, 5, 10
 #: Bytes of text that are hashed at once.
 SLICE = 4 << 20
+#: Members of a band, and shingles of members, that are compared with as many others in one task.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
 #: Fixed value of the published approximation of chance collisions of HyperMinHash registers.
 CHANCE = 0.169919487159739093975315012348
 SALTS = [np.uint64(0x8E9D5A3F1C2B4D67), np.uint64(0xD1B54A32D192ED03)]
@@ -43,6 +50,15 @@ def bands_for(threshold: float) -> int:
     return ceil(log(MISS) / log1p(-(threshold**ROWS)))
 
 
+def deviation(threshold: float, registers: int, smaller):
+    """Standard error of the estimate for pairs at the threshold; ``smaller`` set of the two.
+
+    The variance of independent registers, half as much again because registers borrow, and a
+    term for sets of a few elements, whose borrowed registers hang together (as measured).
+    """
+    return (threshold * (1 - threshold) * (1.5 / registers + 0.5 / smaller**2)) ** 0.5
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Keys and texts (bytes, A-Z in lower case; null: empty), a few megabytes at a time."""
     for batch in batches:
@@ -103,16 +119,21 @@ def sketch(shingles: np.ndarray, registers: int) -> np.ndarray:
 
 
 def _sketches(words: int, registers: int) -> Callable:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["key", "n_shingles", "print", "registers"]
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in slices(batches):
-            sizes, prints, made = [], [], []
+            rows = []
             for own in shingle_sets(texts, words):
-                sizes.append(len(own))
-                prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                made.append(sketch(own, registers).tobytes() if len(own) else None)
+                if len(own):
+                    made = sketch(own, registers).tobytes()
+                    rows.append((len(own), xxhash.xxh3_128_digest(own.tobytes()), made))
+                else:
+                    rows.append((0, None, None))
+            columns = [keys, *zip(*rows, strict=True)] if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(made, pa.binary())],
-                names=["key", "n_shingles", "print", "registers"],
+                [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names
             )
 
     return build
@@ -151,13 +172,85 @@ def _likely(threshold: float, registers: int) -> Callable:
             chance = CHANCE * 2.0**-MANTISSA * 4 * n_a * n_b / (n_a + n_b) ** 2
             same = (left == right).mean(axis=1)
             estimate = (same - chance) / (1 - chance)
-            spread = threshold * (1 - threshold) * (1 / registers + 1 / np.minimum(n_a, n_b))
-            fine = estimate >= threshold - SIGMAS * np.sqrt(spread)
+            spread = deviation(threshold, registers, np.minimum(n_a, n_b))
+            fine = estimate >= threshold - SIGMAS * spread
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     return keep
 
 
+class Band:
+    """Members of one band, or of two blocks of it, and who of them may be similar."""
+
+    def __init__(self, rows: pa.Table, percent: int, bands: int, registers: int):
+        self.percent, self.bands, self.registers = percent, bands, registers
+        self.at, low, high = (rows[name][0].as_py() for name in ("at", "low", "high"))
+        self.rep, self.component, self.block, self.sizes = (
+            rows[name].to_numpy() for name in ("rep", "component", "block", "n")
+        )
+        self.whole = low == high
+        data = b"".join(rows["sketch"].to_pylist())
+        self.sketches = np.frombuffer(data, np.uint16).reshape(-1, registers)
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with later members of other components that the estimate does not rule out.
+
+        A pair is looked at in the first of its common bands only.
+        """
+        order, t = np.arange(len(self.rep)), self.percent / 100
+        for x in order:
+            fine = (order > x) & (self.component != self.component[x])
+            if not self.whole:
+                fine &= self.block != self.block[x]
+            smaller, larger = np.minimum(self.sizes, self.sizes[x]), np.maximum(self.sizes, self.sizes[x])
+            ys = np.flatnonzero(fine & (smaller * 100 >= larger * self.percent))
+            same = self.sketches[ys] == self.sketches[x]
+            equal = same.reshape(-1, self.bands, ROWS).all(axis=2)
+            estimate = same.mean(axis=1) + SIGMAS * deviation(t, self.registers, smaller[ys])
+            ys = ys[equal[:, self.at] & ~equal[:, : self.at].any(axis=1) & (estimate >= t)]
+            if len(ys):
+                yield int(x), ys
+
+
+def _suspects(percent: int, bands: int, registers: int) -> Callable:
+    def suspects(rows: pa.Table) -> pa.Table:
+        found = np.zeros(rows.num_rows, bool)
+        for x, ys in Band(rows, percent, bands, registers).likely():
+            found[x] = True
+            found[ys] = True
+        return rows.select(["band", "at", "rep", "component", "n"]).filter(pa.array(found))
+
+    return suspects
+
+
+def _across(percent: int, bands: int, registers: int) -> Callable:
+    """Links between members of different components of one band, as few as join them."""
+
+    def across(rows: pa.Table) -> pa.Table:
+        band = Band(rows, percent, bands, registers)
+        lists = pa.concat_arrays(rows["shingles"].chunks)
+        sizes = np.diff(lists.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        known, shingles = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        marked, left, right = np.zeros(len(known), bool), [], []
+        for x, ys in band.likely():
+            own = shingles[ends[x] - sizes[x] : ends[x]]
+            marked[own] = True
+            upto = np.cumsum(sizes[ys])
+            places = np.repeat(ends[ys] - upto, sizes[ys]) + np.arange(upto[-1])
+            common = np.add.reduceat(marked[shingles[places]].astype(np.int64), upto - sizes[ys])
+            marked[own] = False
+            ys = ys[common * 100 >= (sizes[ys] + sizes[x] - common) * percent]
+            left.append(np.full(len(ys), x))
+            right.append(ys)
+        a, b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+        root = local_roots(a, b, len(band.rep))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(band.rep[root[moved]]), "b": pa.array(band.rep[moved])})
+
+    return across
+
+
 class _Finder:
     def __init__(self, documents: DataFrame, words: int, percent: int):
         self.documents, self.words, self.percent = documents, words, percent
@@ -170,7 +263,8 @@ class _Finder:
             ),
             "sketches",
         )
-        self.classes = write_shared(
+        self.n_rows, self.n_members = self.rows.count(), 0
+        self.classes = stored(
             self.rows.where("print IS NOT NULL AND key IS NOT NULL")
             .groupBy("print")
             .agg(
@@ -179,82 +273,118 @@ class _Finder:
                 F.first("registers").alias("registers"),
             ),
             "classes",
+            self.n_rows,
+            2 * self.registers,
         )
 
     def band_members(self) -> DataFrame:
-        """(band, rep, leader, size) of bands of two classes or more."""
+        """(band, at, rep, leader, size) of bands of two classes or more."""
         width = 2 * ROWS
         hashed = F.transform(
             F.sequence(F.lit(0), F.lit(self.bands - 1)),
             lambda b: F.xxhash64(b, F.substring("registers", b * width + 1, F.lit(width))),
         )
-        bands = self.classes.select(F.explode(hashed).alias("band"), "rep")
+        open_sets = self.classes.where(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * self.percent)
+        bands = open_sets.select(F.posexplode(hashed).alias("at", "band"), "rep")
         shared = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count("rep").alias("size"))
-        return write_shared(bands.join(shared.where("size > 1"), "band"), "bands")
+        members = write_shared(bands.join(shared.where("size > 1"), "band"), "bands")
+        self.n_members = members.count()
+        return members
+
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """(key, shingles) of the classes named by their smallest keys."""
+        named = keys.join(self.classes.select(F.col("rep").alias("key"), "print"), "key")
+        needed = self.few(named, "needed", 24)
+        made = (
+            self.documents.join(needed.select("key").distinct(), "key", "left_semi")
+            .mapInArrow(_sets(self.words), "key long, print binary, shingles array<long>")
+            .join(needed, ["key", "print"], "left_semi")
+            .dropDuplicates(["key", "print"])
+        )
+        return self.few(made.select("key", "shingles"), "sets", 8000)
+
+    def few(self, df: DataFrame, label: str, width: int) -> DataFrame:
+        """Stored; no more rows than bands have members."""
+        return stored(df, label, self.n_members, width)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        own = self.classes
-        sizes = own.select("rep", "n_shingles", "registers")
+        sizes = self.classes.select("rep", "n_shingles", "registers")
         fit = (
             pairs.join(sizes.toDF("a", "n_a", "r_a"), "a")
             .join(sizes.toDF("b", "n_b", "r_b"), "b")
             .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
         )
-        likely = write_shared(
-            fit.mapInArrow(_likely(self.percent / 100, self.registers), "a long, b long"), "likely"
+        likely = self.few(
+            fit.mapInArrow(_likely(self.percent / 100, self.registers), "a long, b long"), "likely", 16
         )
-        ends = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-        needed = ends.join(own.select(F.col("rep").alias("key"), "print"), "key")
-        sets = (
-            self.documents.join(needed.select("key").distinct(), "key", "left_semi")
-            .mapInArrow(_sets(self.words), "key long, print binary, shingles array<long>")
-            .join(needed, ["key", "print"], "left_semi")
-            .select("key", "shingles")
-        )
-        sets = write_shared(sets, "sets")
-        return write_shared(
+        sets = self.sets(likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct())
+        common = F.size(F.array_intersect("s_a", "s_b"))
+        return self.few(
             likely.join(sets.toDF("a", "s_a"), "a")
             .join(sets.toDF("b", "s_b"), "b")
-            .where(self._similar(F.size(F.array_intersect("s_a", "s_b")), F.size("s_a"), F.size("s_b")))
+            .where(common * 100 >= (F.size("s_a") + F.size("s_b") - common) * self.percent)
             .select("a", "b")
             .distinct(),
             "links",
+            16,
         )
 
-    def _similar(self, common: Column, left: Column, right: Column) -> Column:
-        return common * 100 >= (left + right - common) * self.percent
-
     def links(self) -> DataFrame:
+        """Links (a, b) between classes, enough of them to connect all that are similar."""
         members = self.band_members()
-        first = write_shared(
-            members.where("rep <> leader")
-            .select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-            .distinct(),
-            "pairs",
-        )
-        links = self.confirmed(first)
+        first = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+        links = self.confirmed(first.distinct())
         known = connected_components(links)
         members = (
             members.where("size > 2")
             .join(known.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("band", "rep", F.coalesce("component", "rep").alias("component"))
+            .select("band", "at", "rep", F.coalesce("component", "rep").alias("component"))
         )
+        return links.union(self.across(self.suspects(members)))
+
+    def suspects(self, members: DataFrame) -> DataFrame:
+        """The members of bands that are likely to be similar to a member of another component."""
         counts = members.groupBy("band", "component").agg(F.count("rep").alias("n"))
-        main = counts.groupBy("band").agg(
-            F.max_by("component", F.struct("n", "component")).alias("main"), F.count("n").alias("parts")
+        parts = counts.groupBy("band").agg(F.count("n").alias("parts")).where("parts > 1")
+        own = self.classes.select("rep", F.col("n_shingles").alias("n"), F.col("registers").alias("sketch"))
+        mixed = self.few(members.join(parts, "band", "left_semi"), "mixed", 40)
+        found = self.blocked(mixed, F.count("rep") / BLOCK_ROWS).join(own, "rep")
+        return self.few(
+            found.groupBy("band", "low", "high")
+            .applyInArrow(
+                _suspects(self.percent, self.bands, self.registers),
+                "band long, at int, rep long, component long, n long",
+            )
+            .distinct(),
+            "suspects",
+            40,
+        )
+
+    def across(self, suspects: DataFrame) -> DataFrame:
+        """Links (a, b) that join the components of suspects of the same band."""
+        sets = self.sets(suspects.select(F.col("rep").alias("key")).distinct())
+        own = sets.withColumnRenamed("key", "rep").join(
+            self.classes.select("rep", F.col("registers").alias("sketch")), "rep"
+        )
+        rows = self.blocked(suspects, F.sum("n") / BLOCK_SHINGLES).join(own, "rep")
+        found = rows.groupBy("band", "low", "high").applyInArrow(
+            _across(self.percent, self.bands, self.registers), "a long, b long"
         )
-        mixed = write_shared(members.join(main.where("parts > 1"), "band"), "mixed")
-        others = mixed.where("component <> main").select("band", F.col("rep").alias("x"), F.col("component").alias("cx"))
-        across = (
-            mixed.select("band", F.col("rep").alias("y"), F.col("component").alias("cy"))
-            .join(others, "band")
-            .where("cx <> cy")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-            .join(first, ["a", "b"], "left_anti")
+        return self.few(found.distinct(), "links", 16)
+
+    def blocked(self, members: DataFrame, blocks: Column) -> DataFrame:
+        """Members dealt to pairs of blocks (low, high) of their band, so that every two meet."""
+        counts = members.groupBy("band").agg(F.ceil(blocks).alias("blocks"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        return (
+            members.join(counts, "band")
+            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+            .withColumn("other", other)
+            .withColumn("low", F.least("block", "other"))
+            .withColumn("high", F.greatest("block", "other"))
+            .drop("blocks", "other")
         )
-        return links.union(self.confirmed(write_shared(across, "pairs")))
 
     def components(self) -> DataFrame:
         """(key, component_id) of keys in links or in classes of several keys."""
@@ -265,7 +395,7 @@ class _Finder:
             .groupBy("key")
             .agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps"))
         )
-        owned = write_shared(owned, "owned")
+        owned = stored(owned, "owned", self.n_rows, 32)
         same_key = owned.where(F.size("reps") > 1).select(F.col("rep").alias("a"), F.explode("reps").alias("b"))
         known = connected_components(self.links().union(same_key)).withColumnRenamed("node", "rep")
         return owned.join(known, "rep", "left").select(

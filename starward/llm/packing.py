@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from starward.sources.shared import write_shared
+
 CODEC = pa.Codec("zstd", compression_level=3)
 
 
@@ -65,6 +67,19 @@ def buckets_for(spark: SparkSession, amount: int | None, per_bucket: int) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(amount or 0) // per_bucket))
 
 
+#: Bytes of rows in one file of a stored table.
+FILE_BYTES = 32 << 20
+
+
+def stored(df: DataFrame, label: str, rows: int, width: int) -> DataFrame:
+    """``write_shared`` of at most ``rows`` rows of about ``width`` bytes, in few files.
+
+    The last stage runs in as many tasks as there will be files, one per core at least.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return write_shared(df.coalesce(max(cores, rows * width // FILE_BYTES)), label)
+
+
 def together(frames: Iterable[DataFrame]) -> DataFrame:
     """Rows of different kinds under one schema, so that one shuffle brings them together."""
     first, *rest = frames
