@@ -22,7 +22,7 @@ from starward.llm.word_hashes import Numbers
 #: n-grams in a profile, n-grams of a document that are compared, labelled documents per language.
 PROFILE, COMPARED, SAMPLE = 400, 300, 2000
 #: Characters of text, and cells of the table of documents by n-grams, handled at once.
-SLICE, CELLS = 4 << 20, 16 << 20
+SLICE, CELLS = 2 << 20, 4 << 20
 UNKNOWN = "und"
 SHIFT = np.uint64(21)
 
@@ -54,10 +54,12 @@ def learn_profiles(
     """
     rows = documents.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("lang").alias("n"))
-    chosen = rows.join(counts, "lang").where(
-        F.pmod(F.xxhash64("text"), F.lit(1_000_003)) * F.col("n") < F.lit(1_000_003) * sample
-    )
+    # One row per language, as the result; a join by language would deal the texts to a few tasks.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("lang").alias("n")).collect()}
+    if not counts:
+        return {}
+    n = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) * n < F.lit(1_000_003) * sample)
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     weights = chosen.select("lang", words.alias("word")).groupBy("lang", "word").agg(F.count("word").alias("n"))
     grams = (
