@@ -2,15 +2,16 @@
 
 Words are runs of letters and digits in lower case, shingles three words. A document is read in
 windows of ``WINDOW`` shingles, one every ``STRIDE``; a template in windows at every place. A
-window's MinHash signature has ``BANDS`` values and each is a band of its own: windows that agree
-in one are candidates. Where a notice of at least WINDOW + STRIDE - 1 shingles is copied, some
-window lies inside it whole and equals a window of the template, so it is found for certain; a
-copied notice of 3 shingles shares half of a window, and is found with a chance of
-1 - (1 - 3 / WINDOW) ** BANDS, 99.6 %, longer ones with a higher one. Candidates are confirmed by exact containment: the share of the template's
-distinct shingles that stand around the place where the notice would be.
-
-Templates are a short table given by the caller. They are broadcast in blocks of at most
-``BLOCK`` templates; more templates take more passes over the documents.
+window's MinHash signature are the smallest and the largest value of two hashes of its shingles,
+and each of these four values is a band of its own: windows that agree in one are candidates.
+Where a notice of at least WINDOW + STRIDE - 1 shingles is copied, some window lies inside it whole
+and equals a window of the template, so it is found for certain; a copied notice of 3 shingles is
+three quarters of some window and found with a chance of 1 - (1 / 4) ** 4, 99.6 %. Candidates are
+confirmed by exact containment: the share of the template's distinct shingles that stand around
+the place where the notice would be.
+
+Templates are a short table given by the caller. They are looked up in blocks of at most ``BLOCK``
+templates; more templates take more passes over the documents.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, BANDS, BLOCK = 6, 3, 8, 500
+WINDOW, STRIDE, BLOCK = 4, 2, 500
 
 # Common notices.
 NOTICES = {
@@ -60,26 +61,31 @@ def shingles(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
-def marks(found: Column, stride: int) -> Column:
-    """(place, band, value) of every window, one every ``stride`` shingles."""
-    last = F.greatest(F.size(found) - (WINDOW if stride == 1 else 1), F.lit(0))
+def signature(found: Column, place: Column) -> Column:
+    """The four band values of the window that starts at a place (from 0)."""
+    own = F.slice(found, place + 1, F.lit(WINDOW))
+    other = F.transform(own, lambda shingle: F.xxhash64(shingle))
+    return F.array(F.array_min(own), F.array_max(own), F.array_min(other), F.array_max(other))
 
-    def band(number: int) -> Column:
-        mixed = F.array(F.transform(found, _mixer(number)))
-        places = F.sequence(F.lit(0), last, F.lit(stride))
-        return F.flatten(F.transform(mixed, lambda own: F.transform(places, _least(own, number))))
 
-    return F.when(F.size(found) > 0, F.concat(*[band(k) for k in range(BANDS)]))
+def candidates(found: Column, known: list[list[int]]) -> Column:
+    """Places of windows, one every ``STRIDE`` shingles, with a band value that a template has."""
 
+    def agrees(one: Column, place: Column) -> Column:
+        own, other = (F.slice(one[name], place + 1, F.lit(WINDOW)) for name in ("h", "g"))
+        values = [F.array_min(own), F.array_max(own), F.array_min(other), F.array_max(other)]
+        return reduce(Column.__or__, [v.isin(k) for v, k in zip(values, known, strict=True)])
 
-def _mixer(number: int):
-    return lambda shingle: F.xxhash64(shingle, F.lit(number))
+    both = F.struct(found.alias("h"), F.transform(found, lambda s: F.xxhash64(s)).alias("g"))
+    places = F.sequence(F.lit(0), F.size(found) - 1, F.lit(STRIDE))
+    kept = F.transform(F.array(both), lambda one: F.filter(places, lambda place: agrees(one, place)))
+    return F.when(F.size(found) > 0, F.element_at(kept, 1))
 
 
-def _least(own: Column, number: int):
-    return lambda place: F.struct(
-        place.alias("place"), F.lit(number).alias("band"), F.array_min(F.slice(own, place + 1, F.lit(WINDOW))).alias("value")
-    )
+def banded(rows: DataFrame) -> DataFrame:
+    """One row per band of every window given by ``found`` and ``place``."""
+    values = signature(F.col("found"), F.col("place"))
+    return rows.select("*", F.posexplode(values).alias("band", "value"))
 
 
 def license_matches(
@@ -98,18 +104,24 @@ def license_matches(
     Empty tables give an empty result.
     """
     rows = documents.select(F.col(key).alias("key"), shingles(F.col(text).cast("string")).alias("found"))
-    windows = rows.select("key", "found", F.explode(marks(F.col("found"), STRIDE)).alias("m"))
-    windows = windows.select("key", "found", "m.place", "m.band", "m.value")
     known = templates.select("license", F.col("text").cast("string").alias("text")).distinct()
     blocks = -(-known.count() // BLOCK) or 1
     parts = []
     for block in range(blocks):
         own = known.where(F.pmod(F.xxhash64("license", "text"), F.lit(blocks)) == block)
-        index = own.select(
-            "license", shingles(F.col("text")).alias("wanted")
-        ).select("license", "wanted", F.explode(marks(F.col("wanted"), 1)).alias("w"))
-        index = index.select("license", "wanted", F.col("w.place").alias("offset"), "w.band", "w.value").distinct()
-        parts.append(windows.join(F.broadcast(index), ["band", "value"]))
+        own = own.select("license", shingles(F.col("text")).alias("found"))
+        last = F.greatest(F.size("found") - WINDOW, F.lit(0))
+        own = own.where(F.size("found") > 0).withColumn("place", F.explode(F.sequence(F.lit(0), last)))
+        index = banded(own).select(
+            "license", F.col("found").alias("wanted"), F.col("place").alias("offset"), "band", "value"
+        )
+        # Bounded: the windows of BLOCK templates.
+        bands: list[list[int]] = [[], [], [], []]
+        for row in index.select("band", "value").distinct().collect():
+            bands[row.band].append(row.value)
+        places = F.explode(candidates(F.col("found"), bands)).alias("place")
+        windows = banded(rows.select("key", "found", places))
+        parts.append(windows.join(F.broadcast(index.distinct()), ["band", "value"]))
     start, size = F.col("place") - F.col("offset"), F.size("wanted")
     slack = F.ceil(size * (1 - containment)).cast("int")
     low = F.greatest(start - slack, F.lit(0))
