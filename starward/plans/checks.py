@@ -191,59 +191,48 @@ def orphan_rows(star: Star) -> DataFrame:
     return _union(parts)
 
 
-def _per_column(df: DataFrame, check: str, table: str, counts: dict[str, Column]) -> DataFrame:
-    return _one_row_each(
-        df,
-        [
+def value_checks(star: Star) -> DataFrame:
+    """Required values, ranges and widths, one aggregate per table."""
+    parts = []
+    for table, fields in STAR_FIELDS.items():
+        counts = [
+            ("required value missing", f.name, F.col(f.name).isNull()) for f in fields if f.required
+        ]
+        counts += [
+            ("rating out of range", column, ~F.col(column).between(1, 5))
+            for rated, column in RATINGS
+            if rated == table
+        ]
+        counts += [
+            ("text too long", column, F.length(column) > width)
+            for wide, column, width in WIDTHS
+            if wide == table
+        ]
+        structs = [
             F.struct(
                 F.lit(check).alias("check_name"),
                 F.lit(table).alias("table_name"),
                 F.lit(column).alias("column_names"),
-                count.alias("violations"),
+                rows_where(broken).alias("violations"),
             )
-            for column, count in counts.items()
-        ],
-    )
+            for check, column, broken in counts
+        ]
+        parts.append(_one_row_each(star[table], structs))
+    return _union(parts)
 
 
 def missing_required(star: Star) -> DataFrame:
     """NULLs in columns that must have a value."""
-    return _union(
-        [
-            _per_column(
-                star[table],
-                "required value missing",
-                table,
-                {f.name: rows_where(F.col(f.name).isNull()) for f in fields if f.required},
-            )
-            for table, fields in STAR_FIELDS.items()
-        ]
-    )
+    return value_checks(star).where(F.col("check_name") == "required value missing")
 
 
 def out_of_range(star: Star) -> DataFrame:
     """Ratings outside 1..5 and texts wider than declared."""
-    ratings = [
-        _violations(
-            star[table],
-            "rating out of range",
-            table,
-            column,
-            rows_where(~F.col(column).between(1, 5)),
-        )
-        for table, column in RATINGS
-    ]
-    widths = [
-        _violations(
-            star[table], "text too long", table, column, rows_where(F.length(column) > width)
-        )
-        for table, column, width in WIDTHS
-    ]
-    return _union(ratings + widths)
+    return value_checks(star).where(F.col("check_name") != "required value missing")
 
 
 # The load is published when all of these count zero.
-CONSTRAINTS = [duplicate_keys, orphan_rows, missing_required, out_of_range]
+CONSTRAINTS = [duplicate_keys, orphan_rows, value_checks]
 
 
 # Which raw columns are converted, and to what.

@@ -14,7 +14,7 @@ from starward.plans.checks import CONSTRAINTS
 from starward.plans.warehouse import Star, bucket_count, publish, stored_bytes
 from starward.sources.csv_files import read_folder, source_paths
 from starward.sources.schemas import DATASETS
-from starward.sources.shared import run_together
+from starward.sources.shared import run_together, temporary_tables
 
 
 class LoadRejected(Exception):
@@ -84,12 +84,17 @@ def _build(
         "dim_period": lambda: build.dim_period(star.raw, strict),
         "load_log": lambda: load_log(star, files),
     }
-    run_together(lambda table: star.write_table(table, dimensions[table]()), dimensions)
+
+    def write(table: str, build_table) -> None:
+        with temporary_tables(spark):
+            star.write_table(table, build_table())
+
+    run_together(lambda table: write(table, dimensions[table]), dimensions)
     sources = {d.table: d.source for d in DATASETS}
     run_together(
-        lambda fact: star.write_table(
+        lambda fact: write(
             fact,
-            build.FACT_BUILDERS[fact](
+            lambda: build.FACT_BUILDERS[fact](
                 star.raw[sources[fact]], star["dim_hospital"], star["dim_period"], strict
             ),
         ),

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starward.functions import cleaning as clean
-from starward.operators.joins import join_lookup
+from starward.operators.joins import BROADCAST_BYTES, join_lookup, measured_bytes
 from starward.operators.ordering import global_row_number
 from starward.sources.schemas import star_schema
+from starward.sources.shared import write_shared
 
 # Source of each measure domain, in the columns that name its measures.
 MEASURE_DOMAINS = [
@@ -82,6 +83,19 @@ def dim_period(raws: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
     return _typed(global_row_number(periods, ["start_date", "end_date"], "period_id"), "dim_period")
 
 
+def _drop_unknown(rows: DataFrame, hospitals: DataFrame) -> DataFrame:
+    """Rows of unknown hospitals go before any shuffle, however often an unknown id occurs.
+
+    Distinct ids are compared first. The unknown ones are broadcast if they are small; if not,
+    the rows are left to the join with the hospitals.
+    """
+    ids = rows.select("facility_id").where(F.col("facility_id").isNotNull()).distinct()
+    unknown = write_shared(ids.join(hospitals, "facility_id", "left_anti"), "unknown-ids")
+    if measured_bytes(unknown) > BROADCAST_BYTES:
+        return rows
+    return rows.join(F.broadcast(unknown), "facility_id", "left_anti")
+
+
 def _fact(
     raw: DataFrame,
     table: str,
@@ -96,9 +110,9 @@ def _fact(
     In this order, unusable text of an unknown hospital stops nothing. Only the join keys of
     the dimensions take part. A row without dates has no period.
     """
-    known = raw.withColumn("facility_id", clean.pad_id(F.col("facility_id"))).join(
-        hospitals.select("facility_id"), "facility_id", "left_semi"
-    )
+    padded = raw.withColumn("facility_id", clean.pad_id(F.col("facility_id")))
+    ids = hospitals.select("facility_id")
+    known = _drop_unknown(padded, ids).join(ids, "facility_id", "left_semi")
     cleaned = known.select(
         "facility_id",
         F.col(measure).alias("measure_id"),

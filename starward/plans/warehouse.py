@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from starward.functions.measures import SPENDING
 from starward.operators.ordering import global_ntile
 from starward.sources.schemas import FACTS, RAW_COLUMNS, STAR_FIELDS, raw_schema, star_schema
-from starward.sources.shared import delete_folder
+from starward.sources.shared import delete_folder, temporary_tables
 
 BUCKETED = ["dim_hospital", *FACTS]
 SORTED_BY = {
@@ -163,10 +163,11 @@ class Star:
             if self._quartiles is None:
                 label = f"spending_quartiles_{uuid.uuid4().hex[:8]}"
                 name = table_name(self.version, label)
-                tiles = global_ntile(
-                    self.spending(), 4, "mspb_ratio", "facility_id", "quartile"
-                )
-                write_bucketed(tiles, self.path(label), name, self.buckets, ["facility_id"])
+                with temporary_tables(self.spark):
+                    tiles = global_ntile(
+                        self.spending(), 4, "mspb_ratio", "facility_id", "quartile"
+                    )
+                    write_bucketed(tiles, self.path(label), name, self.buckets, ["facility_id"])
                 self._quartiles = self.spark.table(name)
             return self._quartiles
 
