@@ -37,10 +37,10 @@ NO_INFECTIONS = "1. 0 (no infections)"
 MOST_INFECTIONS = "6. 2.00 or higher"
 # Census Bureau regions, states in the Bureau's division order.
 CENSUS_REGIONS = {
-    "Northeast": "CT ME MA NH RI VT NJ NY PA",
-    "Midwest": "IL IN MI OH WI IA KS MN MO NE ND SD",
-    "South": "DE DC FL GA MD NC SC VA WV AL KY MS TN AR LA OK TX",
-    "West": "AZ CO ID MT NV NM UT WY AK CA HI OR WA",
+    "Northeast": ["CT", "ME", "MA", "NH", "RI", "VT", "NJ", "NY", "PA"],
+    "Midwest": ["IL", "IN", "MI", "OH", "WI", "IA", "KS", "MN", "MO", "NE", "ND", "SD"],
+    "South": ["DE", "DC", "FL", "GA", "MD", "NC", "SC", "VA", "WV", "AL", "KY", "MS", "TN", "AR", "LA", "OK", "TX"],
+    "West": ["AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY", "AK", "CA", "HI", "OR", "WA"],
 }
 
 
@@ -130,7 +130,7 @@ def value_group(rating: Column, ratio: Column) -> Column:
 def census_region(state: Column) -> Column:
     region = F.lit(None).cast("string")
     for name, states in CENSUS_REGIONS.items():
-        region = F.when(state.isin(states.split()), name).otherwise(region)
+        region = F.when(state.isin(states), name).otherwise(region)
     return F.coalesce(region, F.lit("Territories"))
 
 

@@ -36,6 +36,25 @@ def exact_percentiles(
     return counts.groupBy(*by).agg(*aggregates).select(*by, *results)
 
 
+def approximate_percentiles(
+    df: DataFrame, value: str, points: dict[str, float], by: list[str], accuracy: int = 10_000
+) -> DataFrame:
+    """Percentiles from a mergeable quantile sketch, as doubles named after ``points``.
+
+    Each is a value of the group whose rank is at most (rows of the group) / ``accuracy`` away
+    from that of the exact one, without interpolation; groups of less than ``accuracy`` / 2 rows
+    are exact. NULLs do not count; a group without values has NULLs. Unlike ``exact_percentiles``
+    nothing is sorted or written: one scan, and one sketch per task and group is shuffled, the
+    size of which grows with ``accuracy`` and not with the rows.
+    """
+    sketch = F.percentile_approx(F.col(value).cast("double"), list(points.values()), accuracy)
+    return (
+        df.groupBy(*by)
+        .agg(sketch.alias("_found"))
+        .select(*by, *[F.get("_found", n).alias(name) for n, name in enumerate(points)])
+    )
+
+
 def with_share(counts: DataFrame, count: str, name: str, digits: int = 1) -> DataFrame:
     """Add each group's percent of the total, which is one scalar and not a global window."""
     total = counts.agg(F.sum(count)).scalar()

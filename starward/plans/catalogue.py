@@ -64,6 +64,7 @@ EXPLORATORY: dict[str, Question] = {
     "survey_stars_by_spending_level": explore.survey_stars_by_spending_level,
     "worse_mortality_by_ownership": explore.worse_mortality_by_ownership,
     "infection_ratio_by_measure": explore.infection_ratio_by_measure,
+    "approximate_score_percentiles": explore.approximate_score_percentiles,
     "spending_and_stars_by_state": explore.spending_and_stars_by_state,
     "top_readmission_states": explore.top_readmission_states,
     "periods_by_domain": explore.periods_by_domain,

@@ -94,32 +94,64 @@ def _stored_type(stored: T.DataType, declared: str) -> str:
     return declared if (name, declared) == ("text", "character") else name
 
 
+def _as_text(name: str, kind: str) -> Column:
+    """A value as text, different values as different texts (a local time may occur twice)."""
+    value = F.unix_micros(name) if kind == "timestamp without time zone" else F.col(name)
+    return value.cast("string")
+
+
 def column_audit(star: Star) -> DataFrame:
     """Stored type, NULLs and distinct values of every column that is not plain text.
 
-    The types are those of the files. Each column is counted from a grouping by that column.
+    The types are those of the files. Every table is scanned once: a row becomes one
+    (column, value) per audited column, equal ones are counted before they move, and one shuffle
+    brings the counts of all tables together.
     """
-    parts = []
+    declared, parts = [], []
     for table, fields in STAR_FIELDS.items():
         stored = star.stored_schema(table)
-        for position, f in enumerate(fields, 1):
-            if f.kind != "text":
-                values = star[table].groupBy(F.col(f.name).alias("v")).agg(rows().alias("n"))
-                null_rows = F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0))
-                parts.append(
-                    values.agg(
-                        F.coalesce(null_rows, F.lit(0)).alias("null_rows"),
-                        F.count("v").alias("distinct_values"),
-                    ).select(
-                        F.lit(table).alias("table_name"),
-                        F.lit(position).alias("ordinal_position"),
-                        F.lit(f.name).alias("column_name"),
-                        F.lit(_stored_type(stored[f.name].dataType, f.kind)).alias("data_type"),
-                        "null_rows",
-                        "distinct_values",
-                    )
-                )
-    return _union(parts).orderBy("table_name", "ordinal_position")
+        audited = [(n, f) for n, f in enumerate(fields, 1) if f.kind != "text"]
+        if not audited:
+            continue
+        declared += [
+            (table, n, f.name, _stored_type(stored[f.name].dataType, f.kind)) for n, f in audited
+        ]
+        values = F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(n).alias("ordinal_position"), _as_text(f.name, f.kind).alias("v"))
+                    for n, f in audited
+                ]
+            )
+        )
+        parts.append(
+            star[table].select(values.alias("c")).select(F.lit(table).alias("table_name"), "c.*")
+        )
+    column = ["table_name", "ordinal_position"]
+    counted = (
+        _union(parts)
+        .groupBy(*column, "v")
+        .agg(rows().alias("n"))
+        .groupBy(*column)
+        .agg(
+            F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("null_rows"),
+            F.count("v").alias("distinct_values"),
+        )
+    )
+    # One row per declared column: an empty table has zeros.
+    every = star.spark.createDataFrame(
+        declared, "table_name string, ordinal_position int, column_name string, data_type string"
+    )
+    zero = F.lit(0).cast("bigint")
+    return (
+        every.join(counted, column, "left")
+        .select(
+            *every.columns,
+            F.coalesce("null_rows", zero).alias("null_rows"),
+            F.coalesce("distinct_values", zero).alias("distinct_values"),
+        )
+        .orderBy(*column)
+    )
 
 
 def _violations(df: DataFrame, check: str, table: str, columns: str, count: Column) -> DataFrame:

@@ -22,6 +22,7 @@ from starward.functions.measures import (
     star_label,
     star_label_or_unrated,
 )
+from starward.operators.statistics import approximate_percentiles
 from starward.plans.warehouse import Star
 from starward.sources.schemas import FACTS, STAR_TABLES
 
@@ -166,6 +167,15 @@ def infection_ratio_by_measure(star: Star) -> DataFrame:
     )
 
 
+def approximate_score_percentiles(star: Star, accuracy: int = 10_000) -> DataFrame:
+    """Three percentiles of every scored measure of complications and deaths, from sketches."""
+    points = {"p10": 0.10, "median": 0.50, "p90": 0.90}
+    scored = star["fact_complications_deaths"].where(F.col("score").isNotNull())
+    return approximate_percentiles(
+        scored.select("measure_id", "score"), "score", points, ["measure_id"], accuracy
+    ).orderBy("measure_id")
+
+
 def spending_and_stars_by_state(star: Star, minimum: int = 10) -> DataFrame:
     """Left join: the star average covers hospitals without a spending row, too."""
     spending = star["fact_spending"].select("facility_id", "mspb_ratio")

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from starward.plans import checks
 from starward.plans.catalogue import DASHBOARD, EXPLORATORY, HEADLINE
 from starward.plans.load import load_csv_folder
-from starward.plans.publish import publish_questions
+from starward.plans.publish import prune_results, publish_questions
 from starward.plans.warehouse import prune
 
 
@@ -22,7 +22,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("star", help="folder of the star, one subfolder per version")
     parser.add_argument("results", help="folder of the published questions")
     parser.add_argument("--tolerant", action="store_true", help="count bad text instead of stopping")
-    parser.add_argument("--keep", type=int, default=2, help="versions of the star that stay")
+    parser.add_argument("--keep", type=int, default=2, help="versions of the star and of results that stay")
     chosen = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("starward load").getOrCreate()
     star = load_csv_folder(spark, chosen.csv, chosen.star, strict=not chosen.tolerant)
@@ -33,6 +33,7 @@ def main(arguments: list[str] | None = None) -> None:
     )
     published.show(1000, truncate=False)
     prune(spark, chosen.star, chosen.keep)
+    prune_results(spark, chosen.results, chosen.keep)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Mapping
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from starward.plans.warehouse import Star
-from starward.sources.shared import run_together, temporary_tables
+from starward.sources.shared import delete_folder, run_together, temporary_tables
 
 _POINTER = "version string, row_count bigint, published_at timestamp"
 
@@ -44,7 +45,8 @@ def publish_questions(
     failed, with the rows stored. A result is written to a folder of its own and counts only once
     a row that points at it has been appended, so what an interrupted or failed run leaves is
     never taken for a result and readers keep theirs. A question that fails is recorded and does
-    not stop the rest. Intermediate tables of a question go when its result is stored.
+    not stop the rest; what it had stored goes. Intermediate tables of a question go when its
+    result is stored. ``prune_results`` removes what later versions have replaced.
     """
     spark = star.spark
 
@@ -54,14 +56,18 @@ def publish_questions(
             if before is not None and not overwrite:
                 return name, "kept", before.row_count, None
             place, version = f"{folder.rstrip('/')}/{name}", uuid.uuid4().hex[:12]
-            with temporary_tables(spark):
-                questions[name](star).write.parquet(f"{place}/{version}")
-            stored = spark.read.schema("_ string").parquet(f"{place}/{version}").count()
-            spark.range(1).select(
-                F.lit(version).alias("version"),
-                F.lit(stored).cast("bigint").alias("row_count"),
-                F.current_timestamp().alias("published_at"),
-            ).write.mode("append").parquet(f"{place}/published")
+            try:
+                with temporary_tables(spark):
+                    questions[name](star).write.parquet(f"{place}/{version}")
+                stored = spark.read.schema("_ string").parquet(f"{place}/{version}").count()
+                spark.range(1).select(
+                    F.lit(version).alias("version"),
+                    F.lit(stored).cast("bigint").alias("row_count"),
+                    F.current_timestamp().alias("published_at"),
+                ).write.mode("append").parquet(f"{place}/published")
+            except Exception:
+                delete_folder(spark, f"{place}/{version}")
+                raise
             return name, "created" if before is None else "updated", stored, None
         except Exception as error:  # whatever went wrong belongs to this question
             return name, "failed", None, str(error).splitlines()[0]
@@ -70,3 +76,49 @@ def publish_questions(
         run_together(materialise, questions),
         "name string, status string, row_count bigint, error string",
     )
+
+
+def _folders(spark: SparkSession, path: str) -> dict[str, float]:
+    """Folders right below ``path``: name to seconds since their last change."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(place) if files.exists(place) else []
+    now = time.time()
+    return {
+        f.getPath().getName(): now - f.getModificationTime() / 1000
+        for f in found
+        if f.isDirectory()
+    }
+
+
+def prune_results(
+    spark: SparkSession, folder: str, keep: int = 2, unfinished_hours: float = 24
+) -> dict[str, list[str]]:
+    """Remove stored results but the newest ``keep`` of every question; gives the removed ones.
+
+    Folders that no pointer names are left of runs that were killed, or belong to runs that go on:
+    they are removed once nothing in them has changed for ``unfinished_hours``. Readers of a
+    removed version lose it, so keep as many as may still be in use. The driver sees one short
+    row per version of a question.
+    """
+    folder = folder.rstrip("/")
+
+    def prune(name: str) -> tuple[str, list[str]]:
+        place = f"{folder}/{name}"
+        there = _folders(spark, place)
+        if "published" not in there:
+            kept, known = [], []
+        else:
+            versions = spark.read.schema(_POINTER).parquet(f"{place}/published")
+            known = [row.version for row in versions.orderBy(F.desc("published_at")).collect()]
+            kept = [version for version in known if version in there][: max(keep, 1)]
+        removed = []
+        for version, idle in there.items():
+            replaced = version in known and version not in kept
+            unfinished = version not in known and idle > unfinished_hours * 3600
+            if version != "published" and (replaced or unfinished):
+                delete_folder(spark, f"{place}/{version}")
+                removed.append(version)
+        return name, sorted(removed)
+
+    return dict(run_together(prune, _folders(spark, folder)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starward.functions import cleaning as clean
-from starward.operators.joins import BROADCAST_BYTES, join_lookup, measured_bytes
+from starward.operators.joins import BROADCAST_BYTES, HOT_SHARE, join_lookup, measured_bytes
 from starward.operators.ordering import global_row_number
 from starward.sources.schemas import star_schema
 from starward.sources.shared import write_shared
@@ -86,14 +86,17 @@ def dim_period(raws: Mapping[str, DataFrame], strict: bool = True) -> DataFrame:
 def _drop_unknown(rows: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Rows of unknown hospitals go before any shuffle, however often an unknown id occurs.
 
-    Distinct ids are compared first. The unknown ones are broadcast if they are small; if not,
-    the rows are left to the join with the hospitals.
+    Distinct ids, with their counts, are compared first. The unknown ones are broadcast if they
+    are small. If not, only those that hold more than 1/HOT_SHARE of the rows are, of which there
+    are fewer than HOT_SHARE; the rest is even enough for the join with the hospitals.
     """
-    ids = rows.select("facility_id").where(F.col("facility_id").isNotNull()).distinct()
-    unknown = write_shared(ids.join(hospitals, "facility_id", "left_anti"), "unknown-ids")
+    ids = rows.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"))
+    unknown = ids.where(F.col("facility_id").isNotNull()).join(hospitals, "facility_id", "left_anti")
+    unknown = write_shared(unknown, "unknown-ids")
     if measured_bytes(unknown) > BROADCAST_BYTES:
-        return rows
-    return rows.join(F.broadcast(unknown), "facility_id", "left_anti")
+        total = rows.count()
+        unknown = unknown.where(F.col("n") * HOT_SHARE > total)
+    return rows.join(F.broadcast(unknown.select("facility_id")), "facility_id", "left_anti")
 
 
 def _fact(

@@ -7,47 +7,146 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 # Column layouts of the source files and of the cleaned tables.
-_FACILITY = (
-    "facility_id facility_name address city_town state zip_code county_parish telephone_number"
-)
-_GROUPS = " ".join(
-    f"{group}_group_measure_count count_facility_{group}_measures "
-    f"count_{group}_better count_{group}_no_different count_{group}_worse {group}_group_footnote"
-    for group in ("mort", "safety", "readm")
-)
-
 RAW_COLUMNS: dict[str, list[str]] = {
-    "hospital_info": (
-        f"{_FACILITY} hospital_type hospital_ownership emergency_services "
-        "meets_birthing_friendly hospital_overall_rating hospital_overall_rating_footnote "
-        f"{_GROUPS} "
-        "pt_exp_group_measure_count count_facility_pt_exp_measures pt_exp_group_footnote "
-        "te_group_measure_count count_facility_te_measures te_group_footnote"
-    ).split(),
-    "complications": (
-        f"{_FACILITY} measure_id measure_name compared_to_national denominator score "
-        "lower_estimate higher_estimate footnote start_date end_date"
-    ).split(),
-    "infections": (
-        f"{_FACILITY} measure_id measure_name compared_to_national score footnote "
-        "start_date end_date"
-    ).split(),
-    "unplanned_visits": (
-        f"{_FACILITY} measure_id measure_name compared_to_national denominator score "
-        "lower_estimate higher_estimate number_of_patients number_of_patients_returned "
-        "footnote start_date end_date"
-    ).split(),
-    "patient_survey": (
-        f"{_FACILITY} hcahps_measure_id hcahps_question hcahps_answer_description "
-        "patient_survey_star_rating patient_survey_star_rating_footnote "
-        "hcahps_answer_percent hcahps_answer_percent_footnote hcahps_linear_mean_value "
-        "number_of_completed_surveys number_of_completed_surveys_footnote "
-        "survey_response_rate_percent survey_response_rate_percent_footnote "
-        "start_date end_date"
-    ).split(),
-    "spending": (
-        f"{_FACILITY} measure_id measure_name score footnote start_date end_date"
-    ).split(),
+    "hospital_info": [
+        "facility_id",
+        "facility_name",
+        "address",
+        "city_town",
+        "state",
+        "zip_code",
+        "county_parish",
+        "telephone_number",
+        "hospital_type",
+        "hospital_ownership",
+        "emergency_services",
+        "meets_birthing_friendly",
+        "hospital_overall_rating",
+        "hospital_overall_rating_footnote",
+        "mort_group_measure_count",
+        "count_facility_mort_measures",
+        "count_mort_better",
+        "count_mort_no_different",
+        "count_mort_worse",
+        "mort_group_footnote",
+        "safety_group_measure_count",
+        "count_facility_safety_measures",
+        "count_safety_better",
+        "count_safety_no_different",
+        "count_safety_worse",
+        "safety_group_footnote",
+        "readm_group_measure_count",
+        "count_facility_readm_measures",
+        "count_readm_better",
+        "count_readm_no_different",
+        "count_readm_worse",
+        "readm_group_footnote",
+        "pt_exp_group_measure_count",
+        "count_facility_pt_exp_measures",
+        "pt_exp_group_footnote",
+        "te_group_measure_count",
+        "count_facility_te_measures",
+        "te_group_footnote",
+    ],
+    "complications": [
+        "facility_id",
+        "facility_name",
+        "address",
+        "city_town",
+        "state",
+        "zip_code",
+        "county_parish",
+        "telephone_number",
+        "measure_id",
+        "measure_name",
+        "compared_to_national",
+        "denominator",
+        "score",
+        "lower_estimate",
+        "higher_estimate",
+        "footnote",
+        "start_date",
+        "end_date",
+    ],
+    "infections": [
+        "facility_id",
+        "facility_name",
+        "address",
+        "city_town",
+        "state",
+        "zip_code",
+        "county_parish",
+        "telephone_number",
+        "measure_id",
+        "measure_name",
+        "compared_to_national",
+        "score",
+        "footnote",
+        "start_date",
+        "end_date",
+    ],
+    "unplanned_visits": [
+        "facility_id",
+        "facility_name",
+        "address",
+        "city_town",
+        "state",
+        "zip_code",
+        "county_parish",
+        "telephone_number",
+        "measure_id",
+        "measure_name",
+        "compared_to_national",
+        "denominator",
+        "score",
+        "lower_estimate",
+        "higher_estimate",
+        "number_of_patients",
+        "number_of_patients_returned",
+        "footnote",
+        "start_date",
+        "end_date",
+    ],
+    "patient_survey": [
+        "facility_id",
+        "facility_name",
+        "address",
+        "city_town",
+        "state",
+        "zip_code",
+        "county_parish",
+        "telephone_number",
+        "hcahps_measure_id",
+        "hcahps_question",
+        "hcahps_answer_description",
+        "patient_survey_star_rating",
+        "patient_survey_star_rating_footnote",
+        "hcahps_answer_percent",
+        "hcahps_answer_percent_footnote",
+        "hcahps_linear_mean_value",
+        "number_of_completed_surveys",
+        "number_of_completed_surveys_footnote",
+        "survey_response_rate_percent",
+        "survey_response_rate_percent_footnote",
+        "start_date",
+        "end_date",
+    ],
+    "spending": [
+        "facility_id",
+        "facility_name",
+        "address",
+        "city_town",
+        "state",
+        "zip_code",
+        "county_parish",
+        "telephone_number",
+        "measure_id",
+        "measure_name",
+        "score",
+        "footnote",
+        "start_date",
+        "end_date",
+    ],
 }
 
 

@@ -59,7 +59,7 @@ def test_correlation_of_constant_or_single_row_is_null(spark):
 
 
 def test_every_state_has_one_region(spark):
-    states = [s for names in m.CENSUS_REGIONS.values() for s in names.split()]
+    states = [s for names in m.CENSUS_REGIONS.values() for s in names]
     assert len(states) == len(set(states)) == 51
     df = spark.createDataFrame([("CT",), ("OH",), ("DC",), ("HI",), ("PR",)], "state string")
     regions = [r[0] for r in df.select(m.census_region(F.col("state"))).collect()]

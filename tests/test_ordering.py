@@ -13,7 +13,12 @@ from starward.operators.ordering import (
     global_row_number,
     running_counts,
 )
-from starward.operators.statistics import exact_percentiles, measure_columns, with_share
+from starward.operators.statistics import (
+    approximate_percentiles,
+    exact_percentiles,
+    measure_columns,
+    with_share,
+)
 
 SIZES = [0, 1, 3, 10, 2003]
 
@@ -133,3 +138,34 @@ def test_measure_columns_is_one_pass(spark):
     fact = spark.createDataFrame(rows, "facility_id string, measure_id string, score int")
     found = measure_columns(fact, {"a": ("A", "score"), "b": ("B", "score")}).collect()
     assert sorted(map(tuple, found)) == [("1", 5, 6), ("2", 7, None)]
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 1000])
+def test_sketches_stay_within_their_rank_error(spark, accuracy):
+    """A third of all rows share one value; every estimate is checked against exact ranks."""
+    rng = random.Random(accuracy)
+    rows = [
+        (g, None if rng.random() < 0.05 else 7.0 if rng.random() < 0.33 else rng.gauss(0, 50))
+        for g, size in enumerate([1, 2, 500, 20_000])
+        for _ in range(size)
+    ]
+    points = {f"p{k}": k / 100 for k in (0, 1, 10, 50, 90, 99, 100)}
+    df = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    found = approximate_percentiles(df, "v", points, ["g"], accuracy).collect()
+    assert len(found) == 4
+    for row in found:
+        own = sorted(v for g, v in rows if g == row.g and v is not None)
+        for name, share in points.items():
+            if not own:
+                assert row[name] is None
+                continue
+            low, high = own.index(row[name]) + 1, len(own) - own[::-1].index(row[name])
+            wanted, allowed = max(share * len(own), 1), len(own) / accuracy + 1
+            assert low - allowed <= wanted <= high + allowed
+
+
+def test_sketches_of_small_groups_are_exact(spark):
+    df = spark.createDataFrame([(k,) for k in range(1, 1002)], "v int").select(F.lit("x").alias("g"), "v")
+    points = {"low": 0.1, "middle": 0.5, "high": 0.9}
+    assert approximate_percentiles(df, "v", points, ["g"]).first()[1:] == (101.0, 501.0, 901.0)
+    assert approximate_percentiles(df.where("v < 0"), "v", points, ["g"]).collect() == []

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from starward.plans import catalogue
+from starward.plans import catalogue, star
+from starward.sources.schemas import STAR_FIELDS
 
 QUESTIONS = (
     catalogue.EXPLORATORY | catalogue.HEADLINE | catalogue.DASHBOARD | catalogue.STANDALONE
@@ -86,3 +88,44 @@ def test_top_k_is_not_a_full_sort(plan):
     for name in ("top_readmission_states", "first_hospitals"):
         assert any("TakeOrderedAndProject" in x for x in plan(name))
     assert any("WindowGroupLimit" in x for x in plan("best_value_hospitals"))
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_the_audit_scans_every_table_once_and_shuffles_counts(sample_star, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    lines = executed(catalogue.QUESTIONS["audit_columns"](sample_star))
+    scans = [x for x in lines if "FileScan" in x]
+    audited = [t for t, fields in STAR_FIELDS.items() if any(f.kind != "text" for f in fields)]
+    assert len(scans) == len(audited) == len({x.split("Location")[1] for x in scans})
+    shuffles = [n for n, x in enumerate(lines) if "Exchange hashpartitioning(table_name" in x]
+    assert len(shuffles) == 2 and all("partial_" in lines[n + 1] for n in shuffles)
+
+
+def test_sketches_need_one_scan_and_one_small_shuffle(sample_star, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    lines = executed(catalogue.QUESTIONS["approximate_score_percentiles"](sample_star))
+    assert len([x for x in lines if "FileScan" in x]) == 1
+    shuffles = [n for n, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 1 and "partial_percentile_approx" in lines[shuffles[0] + 1]
+    assert not [x for x in lines if "RunningCount" in x or "Join" in x]
+
+
+def test_hot_unknown_ids_stay_in_place(spark, conf, monkeypatch):
+    """Also when the unknown ids are too many to be broadcast."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    monkeypatch.setattr(star, "BROADCAST_BYTES", 100)
+    known = spark.range(100).select(F.format_string("%06d", "id").alias("facility_id"))
+    hot = spark.range(3000).select(F.lit("999999").alias("facility_id"))
+    cold = spark.range(2000).select(F.format_string("8%05d", "id").alias("facility_id"))
+    rows = known.union(hot).union(cold)
+    left = star._drop_unknown(rows, known)
+    assert left.where("facility_id = '999999'").count() == 0
+    assert left.join(known, "facility_id", "left_semi").count() == 100
+    assert left.count() == 2100
+    plan = executed(left)
+    assert "BroadcastHashJoin" in "".join(plan)
+    assert not [x for x in plan if "Exchange hashpartitioning" in x]

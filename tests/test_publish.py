@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starward.plans import explore, job
 from starward.plans.catalogue import DASHBOARD, HEADLINE
-from starward.plans.publish import publish_questions, published_result
+from starward.plans.publish import prune_results, publish_questions, published_result
 from starward.sources.shared import shared_folder
 from starward.sources.csv_files import source_paths
 
@@ -60,6 +60,39 @@ def test_readers_keep_their_version(spark, sample_star, tmp_path):
     assert reader.count() == 6 and published_result(spark, folder, "q").count() == 2
 
 
+def versions(folder, name="q"):
+    return sorted(p.name for p in (Path(folder) / name).iterdir() if p.is_dir() and p.name != "published")
+
+
+def test_replaced_results_go(spark, sample_star, tmp_path):
+    folder, question = str(tmp_path), {"q": explore.star_distribution, "r": explore.star_distribution}
+    for _ in range(4):
+        publish_questions(sample_star, question, folder, overwrite=True)
+    assert len(versions(folder)) == len(versions(folder, "r")) == 4
+    removed = prune_results(spark, folder, keep=2)
+    assert len(versions(folder)) == len(versions(folder, "r")) == 2
+    assert sorted(map(len, removed.values())) == [2, 2]
+    assert published_result(spark, folder, "q").count() == 6
+    assert prune_results(spark, folder, keep=2) == {"q": [], "r": []}
+    prune_results(spark, folder, keep=0)
+    assert len(versions(folder)) == 1 and published_result(spark, folder, "q").count() == 6
+
+
+def test_failed_and_killed_runs_leave_nothing_for_long(spark, sample_star, tmp_path):
+    def failing(star):
+        return star["dim_hospital"].select(F.raise_error(F.lit("stop")).cast("int").alias("x"))
+
+    folder = str(tmp_path)
+    publish_questions(sample_star, {"q": explore.star_distribution}, folder)
+    publish_questions(sample_star, {"q": failing, "new": failing}, folder, overwrite=True)
+    assert len(versions(folder)) == 1
+    (tmp_path / "q" / "killed").mkdir()
+    assert prune_results(spark, folder)["q"] == []
+    assert prune_results(spark, folder, unfinished_hours=-1)["q"] == ["killed"]
+    assert len(versions(folder)) == 1 and published_result(spark, folder, "q").count() == 6
+    assert prune_results(spark, str(tmp_path / "nowhere")) == {}
+
+
 def test_publishing_leaves_no_intermediate_tables(spark, sample_star, tmp_path):
     place = Path(shared_folder(spark).removeprefix("file:")) / "starward"
     before = set(place.iterdir()) if place.exists() else set()
