@@ -52,15 +52,33 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             delete_folder(spark, path)
 
 
-def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """Materialise once: later reads see the same rows and survive the loss of executors."""
+def write_shared(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
+    """Materialise once: later reads see the same rows and survive the loss of executors.
+
+    ``partition_by`` names columns a reader filters by: one folder per value.
+    """
     path = f"{shared_folder(df.sparkSession)}/starward/{label}-{uuid.uuid4().hex}"
     if (made := getattr(_scope, "made", None)) is not None:
         made.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_result(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``build`` gives, written once; the tables that it wrote on the way go.
+
+    Of work that leaves many large tables for one small result, only that stays.
+    """
+    outer = getattr(_scope, "made", None)
+    with temporary_tables(spark):
+        result = build()
+        made, _scope.made = _scope.made, outer
+        try:
+            return write_shared(result, label)
+        finally:
+            _scope.made = made
+
+
 def run_together(job: Callable, items: Iterable) -> list:
     """Submit independent Spark jobs side by side, so that a small one does not hold up the rest."""
     with ThreadPoolExecutor(max_workers=6) as pool:
