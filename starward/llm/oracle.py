@@ -96,9 +96,61 @@ SELECT page_id, CASE WHEN lost THEN 'missing' ELSE 'changed' END AS status,
 FROM records WHERE lost OR damaged
 """
 
+#: Counts words after the planted deletions (crc32 by half bytes, from the table of its 16
+#: remainders), finds near words by equal shortened forms, and follows forms to the last.
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), plain AS (
+    SELECT doc_id::VARCHAR AS id, count(*) AS n,
+           translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), coded AS (
+    SELECT run, n, id IS NULL AS kept, hex(encode(coalesce(id, '') || ':' || run)) AS code FROM plain
+), halves AS (
+    SELECT run, n, kept, list_transform(range(0, len(code)),
+        lambda i: instr('0123456789ABCDEF', code[(i // 2) * 2 + 2 - i % 2]) - 1) AS half
+    FROM coded
+), hashed AS (
+    SELECT run, n, kept, xor(4294967295, list_reduce(list_prepend(4294967295, half), lambda crc, x: xor(crc >> 4,
+        [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580,
+         3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(crc, x) & 15) + 1]))) AS h
+    FROM halves
+), edited AS (
+    SELECT n, CASE WHEN h % 31 = 0 AND NOT kept
+        THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+    SELECT word, pos, substr(word, 1, pos - 1) || substr(word, pos + 1) AS rest
+    FROM words, unnest(range(1, length(word) + 1)) AS places(pos)
+), near AS (
+    SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+    UNION SELECT cut.word, words.word FROM cut JOIN words ON rest = words.word
+    UNION SELECT words.word, cut.word FROM cut JOIN words ON rest = words.word
+), ranked AS (
+    SELECT a, b, words.n AS n_b, count(*) OVER (PARTITION BY a) AS n_near,
+           row_number() OVER (PARTITION BY a ORDER BY words.n DESC, b) AS place
+    FROM near JOIN words ON b = words.word
+), forms AS (
+    SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN n_b >= 10 * n THEN b END AS form,
+           CASE WHEN n_b >= 10 * n THEN n_b END AS form_n
+    FROM words LEFT JOIN ranked ON a = word AND place = 1
+), paths AS (
+    SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+    UNION ALL
+    SELECT paths.word, forms.form FROM paths JOIN forms ON paths.root = forms.word WHERE forms.form IS NOT NULL
+), roots AS (
+    SELECT paths.word, root FROM paths JOIN forms ON root = forms.word WHERE form IS NULL
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN roots USING (word)
+"""
+
 ORACLE: dict[str, str] = {
     "op3_embedding_duplicates": EMBEDDING_DUPLICATES,
     "op5_warc_audit": WARC_AUDIT,
     "op7_cut_repeats": CUT_REPEATS,
     "op8_near_duplicates": NEAR_DUPLICATES,
+    "op11_spelling_variants": SPELLING,
 }

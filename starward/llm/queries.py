@@ -17,8 +17,10 @@ from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
 from starward.llm.personal_data import KINDS, personal_data, span_list
 from starward.llm.repeats import cut_repeats
+from starward.llm.spelling import spelling_variants
 from starward.llm.token_counts import token_counts
 from starward.llm.warc import audit, fixity, merkle_tree, warc_records
+from starward.sources.shared import write_result
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,6 +111,11 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, span_list(F.col("spans")).alias("spans"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the corpus with their near words, forms and roots."""
+    return write_result(spark, lambda: spelling_variants(table(spark, folder, "documents")), "spelling")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
