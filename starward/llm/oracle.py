@@ -147,10 +147,50 @@ WITH RECURSIVE runs AS (
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN roots USING (word)
 """
 
+#: All phrases of pieces are counted, cut at every place and scored by the lowest cut.
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+    SELECT lang, words[pos:pos + size - 1] AS phrase, count(*) AS n
+    FROM lists, unnest(range(1, len(words) + 1)) AS places(pos), unnest(range(1, 6)) AS sizes(size)
+    WHERE pos + size - 1 <= len(words)
+    GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+    SELECT lang, sum(len(words))::HUGEINT AS n FROM lists GROUP BY lang
+), cuts AS (
+    SELECT g.lang, g.phrase, g.n AS a, k, x.n AS l, y.n AS r, totals.n AS n,
+           (1000::HUGEINT * g.n * totals.n) // (x.n::HUGEINT * y.n) AS score
+    FROM grams g, unnest(range(1, len(g.phrase))) AS places(k)
+    JOIN grams x ON x.lang = g.lang AND x.phrase = g.phrase[1:k]
+    JOIN grams y ON y.lang = g.lang AND y.phrase = g.phrase[k + 1:]
+    JOIN totals ON totals.lang = g.lang
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+    SELECT lang, phrase[pos:pos + size - 1] AS phrase, max(n) AS longer
+    FROM grams, unnest(range(2, 5)) AS sizes(size), unnest(range(1, 5)) AS places(pos)
+    WHERE size < len(phrase) AND pos + size - 1 <= len(phrase)
+    GROUP BY ALL
+), kept AS (
+    SELECT lowest.* REPLACE (array_to_string(phrase, ' ') AS phrase)
+    FROM lowest LEFT JOIN inner_parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op3_embedding_duplicates": EMBEDDING_DUPLICATES,
     "op5_warc_audit": WARC_AUDIT,
     "op7_cut_repeats": CUT_REPEATS,
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op11_spelling_variants": SPELLING,
+    "op12_collocations": COLLOCATIONS,
 }

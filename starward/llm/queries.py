@@ -16,6 +16,7 @@ from starward.llm.licenses import license_matches, notices
 from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
 from starward.llm.personal_data import KINDS, personal_data, span_list
+from starward.llm.phrases import collocations
 from starward.llm.repeats import cut_repeats
 from starward.llm.spelling import spelling_variants
 from starward.llm.token_counts import token_counts
@@ -116,6 +117,11 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return write_result(spark, lambda: spelling_variants(table(spark, folder, "documents")), "spelling")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The phrases of every language whose words belong together most."""
+    return write_result(spark, lambda: collocations(table(spark, folder, "documents")), "collocations")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -128,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_personal_data": op10_personal_data,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
