@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from starward.llm.bpe import bpe_decode, bpe_encode
 from starward.llm.decontamination import contaminated
 from starward.llm.embeddings import embedding_duplicates
+from starward.llm.fingerprints import edited_likeness
 from starward.llm.language_id import held_out, identify, learn_profiles
 from starward.llm.licenses import license_matches, notices
 from starward.llm.near_duplicates import near_duplicates
@@ -122,6 +123,11 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return write_result(spark, lambda: collocations(table(spark, folder, "documents")), "collocations")
 
 
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of documents, of their edited texts, and how alike they are."""
+    return write_result(spark, lambda: edited_likeness(table(spark, folder, "documents")), "fingerprints")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -135,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_collocations": op12_collocations,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
