@@ -10,6 +10,9 @@ do not spoil them all. Coordinates are compared one after the other and windows
 item stop early, which gives the same candidates as one comparison of all. Candidates are
 confirmed by the exact edit distance of the item to the words around the window.
 
+Items too short for a walk, of one to four words, allow no edit: their word sequences are looked up as
+they are.
+
 The items go out to the tasks in blocks of at most ``BLOCK_ITEMS``; a larger benchmark takes more
 passes over the documents. Nothing but confirmed matches is shuffled.
 """
@@ -94,6 +97,14 @@ def combine(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return key + word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def sequences(words: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """Keys of sequences given word by word."""
+    key = words[0].astype(np.uint64)
+    for word in words[1:]:
+        key = combine(key, word)
+    return key
+
+
 def build_walk(seed: int, length: int, samples: int, share: float, items: list[np.ndarray], which: list[int], size: int) -> Walk:
     """``share``: where in an item, from its first to its last possible place, walks start."""
     random = np.random.default_rng(seed)
@@ -137,7 +148,14 @@ class Searcher:
                 self.walks.append(
                     build_walk(1000 * shortest + n, length, samples, share, self.items, which, len(self.vocabulary.items))
                 )
-        self.margin = max((len(item) for item in items), default=0) + max(self.allowed, default=0) + 1
+        # Items shorter than any walk: sorted keys of whole sequences, by length.
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for length in range(1, min(FAMILIES)):
+            which = [k for k, item in enumerate(items) if len(item) == length]
+            if which:
+                keys = sequences(np.stack([self.items[k] for k in which], axis=1))
+                order = np.argsort(keys, kind="stable")
+                self.short.append((length, keys[order], np.array(which)[order]))
 
     def numbers(self, text: str) -> np.ndarray:
         raw = text.lower().split()
@@ -156,6 +174,15 @@ class Searcher:
                     rows = np.repeat(np.arange(len(at)), right - left)
                     which = np.arange(len(rows)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[rows]
                     found.append(np.stack([walk.items[which], starts[at[rows]] - walk.offsets[which]], axis=1))
+        for length, known, items in self.short:
+            ends = len(words) - length + 1
+            for begin in range(0, ends, STARTS):
+                starts = np.arange(begin, min(begin + STARTS, ends))
+                key = sequences([words[starts + k] for k in range(length)])
+                left, right = np.searchsorted(known, key), np.searchsorted(known, key, "right")
+                rows = np.repeat(np.arange(len(key)), right - left)
+                which = np.arange(len(rows)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[rows]
+                found.append(np.stack([items[which], starts[rows]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -240,6 +267,52 @@ def _search(items, ratio: float) -> Callable:
     return search
 
 
+def _clean(items, ratio: float, text: int) -> Callable:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(items.value[1], ratio)
+        for batch in batches:
+            fine, texts, size = np.ones(batch.num_rows, bool), [], 0
+            for n, value in enumerate(batch.column(text).cast(pa.string()), 1):
+                texts.append(value.as_py() or "")
+                size += len(texts[-1])
+                if size >= SLICE or n == batch.num_rows:
+                    hit = [n - len(texts) + found[0] for found in searcher.search(texts)]
+                    fine[hit] = False
+                    texts, size = [], 0
+            yield batch.filter(pa.array(fine))
+
+    return clean
+
+
+def _sent(documents: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> Iterator:
+    """The items as broadcasts of at most ``BLOCK_ITEMS`` items of some words."""
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
+    blocks = -(-items.count() // BLOCK_ITEMS) or 1
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        kept = [(row.item, words) for row in own if (words := words_of(row.text))]
+        yield documents.sparkSession.sparkContext.broadcast(([n for n, _ in kept], [w for _, w in kept]))
+
+
+def keep_uncontaminated(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    ratio: float = 0.15,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``documents``, unchanged, in which ``contaminated`` finds no item.
+
+    Decided row by row, where the row is: nothing is shuffled. Null and empty texts stay, rows of
+    any key are rows of their own, very long texts are read whole by one task. An empty benchmark
+    keeps all rows, an empty table gives an empty result.
+    """
+    for sent in _sent(documents, benchmark, item, item_text):
+        documents = documents.mapInArrow(_clean(sent, ratio, documents.columns.index(text)), documents.schema)
+    return documents
+
+
 def contaminated(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -253,27 +326,18 @@ def contaminated(
 
     An item is in a document if some run of its words is at most ``ratio`` times the item's number
     of words away in edit distance of words (places count words that have a letter or digit).
-    Items of fewer than five words are too common to mean anything and match nothing, as do null
-    and empty texts. Rows that repeat a key or an item count as one; the best match stays. Null
+    Items of fewer than seven words allow no edit, so they match where their words stand. Items
+    without a word match nothing, nor do null and empty texts; very long texts are read whole by one
+    task. Rows that repeat a key or an item count as one; the best match stays. Null
     keys and items are keys. Other columns are not read, whatever their names. Empty tables give
     an empty result.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    blocks = -(-items.count() // BLOCK_ITEMS) or 1
     kind = rows.schema["key"].dataType.simpleString()
-    found = []
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        kept = [(row.item, words_of(row.text)) for row in own]
-        kept = [(number, words) for number, words in kept if len(words) >= min(FAMILIES)]
-        sent = spark.sparkContext.broadcast(([n for n, _ in kept], [w for _, w in kept]))
-        found.append(
-            rows.mapInArrow(
-                _search(sent, ratio), f"key {kind}, item long, edits long, first long, end long"
-            )
-        )
+    found = [
+        rows.mapInArrow(_search(sent, ratio), f"key {kind}, item long, edits long, first long, end long")
+        for sent in _sent(documents, benchmark, item, item_text)
+    ]
     every = reduce(DataFrame.union, found)
     best = every.groupBy("key", "item").agg(F.min(F.struct("edits", "first", "end")).alias("m"))
     return best.select(

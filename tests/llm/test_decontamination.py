@@ -24,7 +24,7 @@ def brute_force(rows, items, ratio):
     for key, text in rows:
         for item, item_text in items:
             own = words_of(item_text)
-            if len(own) >= 5 and (d := edits(own, words_of(text))) <= int(ratio * len(own)):
+            if own and (d := edits(own, words_of(text))) <= int(ratio * len(own)):
                 found[key, item] = min(d, found.get((key, item), d))
     return found
 
@@ -76,10 +76,40 @@ def test_edges(spark, documents):
             (9, "null keys are keys as well here"), (10, "é " + item.replace("four", "fuor"))]
     frame = documents(rows).withColumn("item", F.lit("clash")).withColumn("edits", F.lit(1))
     assert collected(frame, benchmark(spark, items)) == {
-        (1, 1): 0, (5, 1): 0, (None, 1): 0, (7, 1): 0, (8, 1): 1, (9, None): 0, (10, 1): 1
+        (1, 1): 0, (5, 1): 0, (None, 1): 0, (6, 4): 0, (7, 1): 0, (8, 1): 1, (9, None): 0, (10, 1): 1
     }
 
 
+def test_short_items_are_found_exactly(spark, documents):
+    pick = random.Random(8)
+    items = [(k, " ".join(pick.choices("abcdefg", k=pick.randint(1, 4)))) for k in range(30)]
+    rows = [(k, pick.choice([" ", ", ", "\n"]).join(pick.choices("ABcdefghijk", k=pick.randint(0, 40)))) for k in range(60)]
+    assert collected(documents(rows), benchmark(spark, items)) == brute_force(rows, items, 0.15)
+
+
+@pytest.mark.parametrize("size", [7, 20, 60, 250, 500])
+def test_recall_by_length(size):
+    pick = random.Random(size)
+    items = [[f"w{pick.randrange(2000)}" for _ in range(size)] for _ in range(40)]
+    searcher = Searcher(items, 0.15)
+    filler = [f"x{k}" for k in range(30)]
+    texts = [" ".join(filler + changed(pick, own, int(0.15 * size) // 2) + filler) for own in items]
+    found = {(text, item) for text, item, *_ in searcher.search(texts)}
+    assert len(found & {(k, k) for k in range(40)}) >= 0.97 * 40
+
+
+def test_rows_without_items_stay_as_they_are(spark, documents):
+    items = [(1, "one two three four five six seven"), (2, "single"), (3, None), (4, "...")]
+    rows = [(1, "a one two three four five six seven b"), (1, "free"), (2, None), (None, ""), (None, "Single!"), (3, "free " * 9000)]
+    frame = documents(rows).withColumn("key", F.lit("clash"))
+    kept = decontamination.keep_uncontaminated(frame, benchmark(spark, items))
+    assert kept.schema == frame.schema
+    gone = {rows[0], rows[4]}
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str) == sorted(set(rows) - gone, key=str)
+    assert decontamination.keep_uncontaminated(frame, benchmark(spark, [])).count() == len(rows)
+    assert decontamination.keep_uncontaminated(documents([]), benchmark(spark, items)).collect() == []
+
+
 def test_empty_tables(spark, documents):
     empty = benchmark(spark, [])
     assert contaminated(documents([]), benchmark(spark, [(1, "a b c d e f")])).collect() == []
@@ -101,6 +131,6 @@ def test_query(spark, folder):
     # A run with few edits has half of the item's words at least; that spares most of the work.
     near = [(k, t) for k, t in rows if any(len(set(words_of(i)) - set(words_of(t))) <= 0.15 * len(words_of(i)) for _, i in items)]
     got = {(r.doc_id, r.item_id): r.edits for r in QUERIES["op6_contaminated"](spark, folder).collect()}
-    assert got == brute_force([(k, t) for k, t in near if len(words_of(t)) < 1500], items, 0.15) | {
-        pair: d for pair, d in got.items() if len(words_of(dict(rows)[pair[0]])) >= 1500
+    assert got == brute_force([(k, t) for k, t in near if len(words_of(t)) < 4000], items, 0.15) | {
+        pair: d for pair, d in got.items() if len(words_of(dict(rows)[pair[0]])) >= 4000
     }
