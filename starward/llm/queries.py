@@ -63,7 +63,8 @@ def op5_warc_audit(spark: SparkSession, folder: str) -> DataFrame:
     middle = F.floor(F.length("record") / 2).cast("int")
     flipped = F.when(F.substring("record", middle, F.lit(1)) == b"#", F.lit(b"-")).otherwise(F.lit(b"#"))
     damaged = F.overlay("record", flipped, middle, F.lit(1))
-    copy = records.where("page_id % 211 <> 7").withColumn(
+    kept = F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))
+    copy = records.where(kept).withColumn(
         "record", F.when(F.col("page_id") % 101 == 0, damaged).otherwise(F.col("record"))
     )
     found = audit(merkle_tree(fixity(records)), merkle_tree(fixity(copy)))

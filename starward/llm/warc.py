@@ -8,8 +8,8 @@ so a range of offsets, the root the whole archive. ``audit`` compares the roots
 and goes down only where digests differ, a join per level over the children of the differing
 nodes, until it has the records that differ, are missing or are too many.
 
-A node is addressed by archive, level and number. A group never holds more than ``FAN`` nodes, and
-archives are filled task by task, so no key can make one large.
+A node is addressed by archive, level and number. A group holds the records below one top node,
+``FAN ** LEVELS`` at most, and archives are filled task by task, so no key can make one large.
 """
 
 from __future__ import annotations
@@ -78,7 +78,11 @@ def warc_records(
 
 
 def archives(records: DataFrame) -> DataFrame:
-    """(archive, data): the records of each archive one after the other."""
+    """(archive, data): the records of each archive one after the other.
+
+    An archive is held by one task, like the file it is; null records are left out. No records make
+    no archives.
+    """
     own = F.array_sort(F.collect_list(F.struct("offset", "record")))
     joined = F.aggregate("own", F.lit(b""), lambda data, r: F.concat(data, r["record"]))
     return records.groupBy("archive").agg(own.alias("own")).select("archive", joined.alias("data"))
@@ -119,39 +123,62 @@ def record_end(data: bytes, offset: int) -> int:
 
 
 def fixity(records: DataFrame) -> DataFrame:
-    """The digest of every record with its place and range of offsets: the leaves of the trees."""
+    """The digest of every record with its place and range of offsets: the leaves of the trees.
+
+    One row per row of ``records``, whatever its other columns; written once, since both the tree and
+    the last step of an audit read it. A null record has no digest and stands for a record that
+    neither side can read; an empty one, or a very long one, is a record like any other.
+    """
     length = F.length("record").cast("long")
-    return records.select(
-        "archive", "place", "offset", length.alias("length"), F.sha2("record", 256).alias("digest")
+    leaves = records.select(
+        "archive", "place", "offset", F.coalesce(length, F.lit(0).cast("long")).alias("length"), F.sha2("record", 256).alias("digest")
     )
+    return write_shared(leaves, "leaves")
 
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """The next level: FAN neighbours become one node over their range of offsets."""
-    children = F.array_sort(F.collect_list(F.struct("place", "offset", "length", "digest")))
-    digest = F.sha2(
-        F.array_join(
-            F.transform("c", lambda n: F.concat_ws(":", n["place"], n["offset"], n["length"], n["digest"])), "|"
-        ).cast("binary"),
-        256,
-    )
-    grouped = nodes.groupBy("archive", F.floor(F.col("place") / FAN).alias("place")).agg(children.alias("c"))
-    first = F.array_min(F.transform("c", lambda n: n["offset"]))
-    end = F.array_max(F.transform("c", lambda n: n["offset"] + n["length"]))
-    return grouped.select("archive", "place", first.alias("offset"), (end - first).alias("length"), digest.alias("digest"))
+def node(children: list[tuple]) -> tuple[int, int, str]:
+    """(offset, length, digest) of the node above (place, offset, length, digest) neighbours."""
+    listed = "|".join(f"{p}:{o}:{n}:{d}" for p, o, n, d in children)
+    first, end = min(c[1] for c in children), max(c[1] + c[2] for c in children)
+    return first, end - first, hashlib.sha256(listed.encode()).hexdigest()
+
+
+NODES = "level int, archive long, place long, offset long, length long, digest string"
+
 
+def _branches(levels: int) -> Callable:
+    """All nodes above the leaves of one branch, level by level: FAN neighbours become one node."""
 
-def merkle_tree(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(level, archive, place, offset, length, digest) of all nodes, written once.
+    def build(rows: pa.Table) -> pa.Table:
+        archive = rows["archive"][0].as_py()
+        leaves = zip(*(rows[name].to_pylist() for name in FIELDS[1:]), strict=True)
+        below, made = sorted(leaves), []
+        for level in range(1, levels + 1):
+            above: dict[int, list[tuple]] = {}
+            for child in below:
+                above.setdefault(child[0] // FAN, []).append(child)
+            below = [(place, *node(children)) for place, children in above.items()]
+            made += [(level, archive, *one) for one in below]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        columns = zip(*made, strict=True) if made else [[]] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["level", *FIELDS])
+
+    return build
+
+
+def merkle_tree(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
+    """The nodes of every level, the leaves first: archive, place, offset, length, digest.
 
     ``levels`` levels above the leaves hold FAN ** levels records per archive in one root; larger
-    archives have several nodes on the top level, which are compared like roots.
+    archives have several nodes on the top level, which are compared like roots. Leaves move once:
+    a group holds those below one top node, FAN ** levels at most, and gives all its levels. These
+    are written once, each level to a folder of its own. No leaves make a tree without nodes.
     """
-    every, level = leaves.select(F.lit(0).alias("level"), *FIELDS), leaves
-    for number in range(1, levels + 1):
-        level = parents(level)
-        every = every.union(level.select(F.lit(number), *FIELDS))
-    return write_shared(every, "merkle-tree")
+    top = F.floor(F.col("place") / FAN**levels).alias("top")
+    nodes = leaves.select(*FIELDS).groupBy("archive", top).applyInArrow(_branches(levels), NODES)
+    written = write_shared(nodes.withColumn("stage", F.col("level")), "merkle-tree", partition_by=["stage"])
+    inner = [written.where(F.col("stage") == level).select(*FIELDS) for level in range(1, levels + 1)]
+    return [leaves.select(*FIELDS), *inner]
 
 
 def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -165,25 +192,19 @@ def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.where(~F.col("expected.digest").eqNullSafe(F.col("found.digest")))
 
 
-def audit(expected: DataFrame, found: DataFrame, levels: int = LEVELS) -> DataFrame:
+def audit(expected: list[DataFrame], found: list[DataFrame]) -> DataFrame:
     """Records that differ between two trees: archive, place, status and offsets on both sides.
 
     ``status`` is ``changed``, ``missing`` (not in ``found``) or ``added``. Two empty trees have no
-    differences. The differing nodes of a level are written before the next one is read, so each
-    step reads only the branches it needs.
+    differences. The differing nodes of a level are written before the next one is looked at: a
+    level is scanned from the least to the largest archive with a difference, and only children of
+    differing nodes are compared. The trees must have the same number of levels.
     """
-
-    def level(tree: DataFrame, number: int, above: DataFrame | None) -> DataFrame:
-        nodes = tree.where(F.col("level") == number)
-        if above is None:
-            return nodes
-        return nodes.withColumn("up", F.floor(F.col("place") / FAN)).join(above, ["archive", "up"], "left_semi")
-
     above = None
-    for number in range(levels, 0, -1):
-        apart = _differing(level(expected, number, above), level(found, number, above))
+    for low, high in zip(expected[:0:-1], found[:0:-1], strict=True):
+        apart = _differing(_below(low, above), _below(high, above))
         above = write_shared(apart.select("archive", F.col("place").alias("up")), "merkle-branches")
-    apart = _differing(level(expected, 0, above), level(found, 0, above))
+    apart = _differing(_below(expected[0], above), _below(found[0], above))
     gone, new = F.col("found.digest").isNull(), F.col("expected.digest").isNull()
     status: Column = F.when(gone, "missing").when(new, "added").otherwise("changed")
     return apart.select(
@@ -191,3 +212,12 @@ def audit(expected: DataFrame, found: DataFrame, levels: int = LEVELS) -> DataFr
         F.col("expected.offset").alias("offset"), F.col("expected.length").alias("length"),
         F.col("found.offset").alias("found_offset"), F.col("found.length").alias("found_length"),
     )
+
+
+def _below(nodes: DataFrame, above: DataFrame | None) -> DataFrame:
+    """The nodes of a level below some of the next; all of them if none are named."""
+    if above is None:
+        return nodes
+    least, largest = above.agg(F.min("archive"), F.max("archive")).first()
+    near = nodes.where(F.col("archive").between(F.lit(least).cast("long"), F.lit(largest).cast("long")))
+    return near.withColumn("up", F.floor(F.col("place") / FAN)).join(above, ["archive", "up"], "left_semi")

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import hashlib
+
+import duckdb
 import pytest
 from compare import connect, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
-from starward.llm.warc import archives, audit, fixity, merkle_tree, parents, split_archives, warc_records
+from starward.llm import warc
+from starward.llm.warc import archives, audit, fixity, merkle_tree, split_archives, warc_records
 
 PAGES = "page_id long, url string, html string, place string, record int"
 
@@ -61,9 +65,54 @@ def test_the_audit_finds_exactly_the_damage(many, changed, lost):
 
 
 def test_only_differing_branches_change(many):
-    left, right = (parents(fixity(r)) for r in (many, damage(many, [5], [-1])))
-    apart = left.join(right, ["archive", "place"]).where(left["digest"] != right["digest"])
-    assert apart.count() == 1
+    left, right = (merkle_tree(fixity(r)) for r in (many, damage(many, [5], [-1])))
+    for one, other in zip(left, right, strict=True):
+        apart = one.join(other, ["archive", "place"]).where(one["digest"] != other["digest"])
+        assert apart.count() == 1
+
+
+def test_nodes_are_digests_of_their_children(many):
+    leaves, *above = merkle_tree(fixity(many))
+    below = sorted((r.archive, r.place, r.offset, r.length, r.digest) for r in leaves.collect())
+    for level in above:
+        groups = {}
+        for archive, place, *rest in below:
+            groups.setdefault((archive, place // 16), []).append((place, *rest))
+        below = []
+        for (archive, place), own in sorted(groups.items()):
+            digest = hashlib.sha256("|".join(":".join(map(str, c)) for c in own).encode()).hexdigest()
+            below.append((archive, place, own[0][1], own[-1][1] + own[-1][2] - own[0][1], digest))
+        assert sorted((r.archive, r.place, r.offset, r.length, r.digest) for r in level.collect()) == below
+    assert len(below) == len({row[0] for row in below})
+
+
+def test_large_archives_have_several_roots(spark):
+    rows = spark.range(10_000).select(F.lit(1).cast("long").alias("archive"), F.col("id").alias("place"), F.col("id").alias("offset"), F.lit(b"x").alias("record"))
+    tree = merkle_tree(fixity(rows))
+    assert [level.count() for level in tree] == [10_000, 625, 40, 3]
+    changed = rows.withColumn("record", F.when(F.col("place").isin(0, 9999), F.lit(b"y")).otherwise(F.col("record")))
+    assert sorted(r.place for r in audit(tree, merkle_tree(fixity(changed))).collect()) == [0, 9999]
+
+
+def test_one_shuffle_builds_a_tree(many, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    leaves = fixity(many)
+    grouped = leaves.groupBy("archive", F.floor(F.col("place") / 4096).alias("top")).applyInArrow(warc._branches(3), warc.NODES)
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_query_with_null_and_repeated_ids(spark, tiny):
+    from starward.llm.queries import ORACLE, QUERIES
+
+    name = "op5_warc_audit"
+    rows = [(k, f"u{k}", "b" * (k or 3), "", 1) for k in (7, 101, 101, 218, 5, 5, None, None, 202)] + [(None, None, None, "", 2)]
+    folder = tiny(pages=spark.createDataFrame(rows, PAGES))
+    expected = sorted([(7, "missing"), (101, "changed"), (101, "changed"), (218, "missing"), (202, "changed")])
+    assert sorted((r.page_id, r.status) for r in QUERIES[name](spark, folder).collect()) == expected
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    assert spark_rows(QUERIES[name](spark, folder)) == duck_rows(con, ORACLE[name])
 
 
 def test_edges(spark):
