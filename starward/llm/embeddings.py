@@ -6,20 +6,23 @@ two blocks meet in one task. There each unit vector u is s * q + e with q in who
 
     |u . v - s s' (q . q')|  <=  |s q| |e'| + |e| |v|.
 
-The product of the q of two tiles is exact. Only pairs whose product plus the bound reaches the
-threshold are computed again in double precision. A task returns, for its vectors, the number of
-links and a spanning forest of them, never the pairs.
+What is sent to the other blocks is q, one byte a component, with s and the two lengths. The product
+of the q of two tiles is exact, and a task returns the vectors that have a partner whose product plus
+the bound reaches the threshold. Only their vectors in double precision are sent to a second task
+of the same two blocks, which computes such pairs again. It returns, for its vectors, the number of
+links and a spanning forest of them. Neither returns pairs.
 
 All pairs of blocks are multiplied, so work grows with the square of the number of distinct
-vectors; that is the method. What is sent is each block once per other block.
+vectors; that is the method.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +39,18 @@ SLACK = 1e-9
 
 
 def quantised(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """q (as single precision), s, length of s * q and length of the error of every row."""
+    """q as int8, s, length of s * q and length of the error of every row."""
     scale = np.abs(units).max(axis=1) / 127
     q = np.rint(units / scale[:, None])
     coarse = q * scale[:, None]
-    return q.astype(np.float32), scale, np.linalg.norm(coarse, axis=1), np.linalg.norm(units - coarse, axis=1)
+    return q.astype(np.int8), scale, np.linalg.norm(coarse, axis=1), np.linalg.norm(units - coarse, axis=1)
 
 
 def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact products of whole numbers of at most 127."""
+    """Exact products of int8 rows: single precision adds up ``TERMS`` terms without rounding."""
     parts = [
-        left[:, k : k + TERMS] @ right[:, k : k + TERMS].T for k in range(0, left.shape[1], TERMS)
+        left[:, k : k + TERMS].astype(np.float32) @ right[:, k : k + TERMS].astype(np.float32).T
+        for k in range(0, left.shape[1], TERMS)
     ]
     return parts[0] if len(parts) == 1 else sum(part.astype(np.float64) for part in parts)
 
@@ -56,22 +60,34 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
 
 
-def links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of linked vectors of two blocks; of one block (``same``) only i < j."""
-    left, right = map(scaled, (left, right))
-    u, v = (block / np.linalg.norm(block, axis=1)[:, None] for block in (left, right))
-    q, s, length, error = quantised(u)
-    q2, s2, _, error2 = quantised(v)
-    found = []
-    for k in range(0, len(u), TILE):
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled rows, so nothing overflows."""
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+
+def possible(left: tuple, right: tuple, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of two quantised blocks whose product plus the bound reaches the threshold.
+
+    A tile of ``left`` at a time; of one block (``same``) only i < j.
+    """
+    (q, s, length, error), (q2, s2, _, error2) = left, right
+    for k in range(0, len(q), TILE):
         tile = slice(k, k + TILE)
         bound = length[tile, None] * error2 + error[tile, None] + SLACK
         near = product(q[tile], q2) * (s[tile, None] * s2) + bound >= threshold
         if same:
-            near &= np.arange(len(v)) > np.arange(k, k + len(near))[:, None]
+            near &= np.arange(len(q2)) > np.arange(k, k + len(near))[:, None]
         i, j = np.nonzero(near)
+        yield i + k, j
+
+
+def links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of linked vectors of two blocks; of one block (``same``) only i < j."""
+    left, right = map(scaled, (left, right))
+    found = []
+    for i, j in possible(quantised(units(left)), quantised(units(right)), threshold, same):
         for m in range(0, len(i), EXACT):
-            a, b = i[m : m + EXACT] + k, j[m : m + EXACT]
+            a, b = i[m : m + EXACT], j[m : m + EXACT]
             exact = np.einsum("nd,nd->n", left[a], right[b]) / (
                 np.linalg.norm(left[a], axis=1) * np.linalg.norm(right[b], axis=1)
             )
@@ -79,32 +95,55 @@ def links(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) ->
     return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
 def _pack(rows: pa.Table) -> pa.Table:
-    """One row per block: ids, counts and vectors as bytes."""
-    vectors = rows.column("vector").combine_chunks()
-    data = [
-        np.ascontiguousarray(x).tobytes()
-        for x in (rows["id"].to_numpy(), rows["n"].to_numpy(), vectors.flatten().to_numpy())
-    ]
+    """One row per block: ids and quantised vectors as bytes."""
+    q, *lengths = quantised(units(scaled(_matrix(rows["vector"]))))
+    data = [np.ascontiguousarray(x).tobytes() for x in (rows["id"].to_numpy(), q, np.stack(lengths))]
     return pa.table(
         {"dim": rows["dim"][:1], "block": rows["block"][:1], "blocks": rows["blocks"][:1], "data": [pack_strings(data)]}
     )
 
 
-def _tile(threshold: float) -> Callable:
-    """Links of two blocks: per class its partners there, and the class it is joined to."""
+def _suspects(threshold: float) -> Callable:
+    """The vectors of two blocks that may have a partner in the other."""
 
-    def tile(rows: pa.Table) -> pa.Table:
+    def suspects(rows: pa.Table) -> pa.Table:
         blocks = []
         for packed in rows.sort_by("block")["data"]:
-            ids, counts, vectors = unpack_strings(packed.as_py())
+            ids, q, lengths = unpack_strings(packed.as_py())
             ids = np.frombuffer(ids, np.int64)
-            blocks.append((ids, np.frombuffer(counts, np.int64), np.frombuffer(vectors).reshape(len(ids), -1)))
-        same = len(blocks) == 1
-        left, right = blocks[0], blocks[-1]
-        a, b = links(left[2], right[2], threshold, same)
-        ids, counts = (left[k] if same else np.concatenate([left[k], right[k]]) for k in (0, 1))
-        b = b if same else b + len(left[0])
+            blocks.append((ids, (np.frombuffer(q, np.int8).reshape(len(ids), -1), *np.frombuffer(lengths).reshape(3, -1))))
+        (ids, left), (ids2, right) = blocks[0], blocks[-1]
+        found = [np.zeros(len(ids), bool), np.zeros(len(ids2), bool)]
+        for i, j in possible(left, right, threshold, len(blocks) == 1):
+            found[0][i] = True
+            found[1][j] = True
+        if len(blocks) == 1:
+            own, side = ids[found[0] | found[1]], np.zeros(int((found[0] | found[1]).sum()), bool)
+        else:
+            own = np.concatenate([ids[found[0]], ids2[found[1]]])
+            side = np.repeat([False, True], [int(found[0].sum()), int(found[1].sum())])
+        low, high = (min(x.as_py() for x in rows["low"]), max(x.as_py() for x in rows["high"]))
+        n = len(own)
+        return pa.table({"dim": pa.array(np.full(n, rows["dim"][0].as_py(), np.int32)), "low": pa.array(np.full(n, low)), "high": pa.array(np.full(n, high)), "right": pa.array(side), "id": pa.array(own)})
+
+    return suspects
+
+
+def _exact(threshold: float) -> Callable:
+    """Links of the suspects of two blocks: per class its partners there, and the class it is joined to."""
+
+    def exact(rows: pa.Table) -> pa.Table:
+        same = rows["low"][0].as_py() == rows["high"][0].as_py()
+        sides = [rows] if same else [rows.filter(pc.invert(rows["right"])), rows.filter(rows["right"])]
+        left, right = sides[0], sides[-1]
+        a, b = links(_matrix(left["vector"]), _matrix(right["vector"]), threshold, same)
+        ids, counts = (np.concatenate([side[name].to_numpy() for side in sides]) for name in ("id", "n"))
+        b = b if same else b + left.num_rows
         partners = np.bincount(a, counts[b], len(ids)) + np.bincount(b, counts[a], len(ids))
         root = ids[local_roots(a, b, len(ids))]
         linked = partners > 0
@@ -116,7 +155,7 @@ def _tile(threshold: float) -> Callable:
             }
         )
 
-    return tile
+    return exact
 
 
 def embedding_duplicates(
@@ -129,7 +168,7 @@ def embedding_duplicates(
     of different lengths. ``n_links`` counts other rows linked directly, equal ones included.
     ``component_id`` is the smallest key reachable, ``kept`` says that it is the row's own. Keys
     are integers; rows that repeat a key are rows of one node. A null key links with nothing and is
-    kept under a null component. Other columns are not read, whatever their names. An empty table
+    kept under a null component. Very long vectors are held whole by a task. Other columns are not read, whatever their names. An empty table
     gives an empty result.
     """
     values = F.col(vector).cast("array<double>")
@@ -148,7 +187,7 @@ def embedding_duplicates(
     packed = (
         classes.join(blocks, "dim")
         .withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")))
-        .select("dim", "block", "blocks", "id", "n", "vector")
+        .select("dim", "block", "blocks", "id", "vector")
         .groupBy("dim", "block")
         .applyInArrow(_pack, "dim int, block long, blocks long, data binary")
     )
@@ -157,8 +196,14 @@ def embedding_duplicates(
     met = packed.select("dim", "block", "data", other).select(
         "dim", "block", "data", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
+    suspects = met.groupBy("dim", "low", "high").applyInArrow(
+        _suspects(threshold), "dim int, low long, high long, right boolean, id long"
+    )
+    suspects = write_shared(suspects, "vector-suspects")
     linked = write_shared(
-        met.groupBy("dim", "low", "high").applyInArrow(_tile(threshold), "id long, partners long, root long"),
+        suspects.join(classes.select("id", "n", "vector"), "id")
+        .groupBy("dim", "low", "high")
+        .applyInArrow(_exact(threshold), "id long, partners long, root long"),
         "vector-links",
     )
     partners = linked.groupBy("id").agg(F.sum("partners").alias("partners"))
