@@ -13,8 +13,8 @@ the whole corpus, and each occurrence is rewritten to its id. Then, level by lev
    whose pairs are (phrase, next word) again. A phrase is as rare as its rarest part, so only
    positions where both the phrase and the one that starts a word later are frequent go on.
 
-The ids come back to the chunks by a join on what each chunk holds once, so no key is hot. Counts of
-all frequent phrases, their scores and the rule against parts of longer phrases are joins and
+The ids come back to the chunks by a join on what each chunk holds once, so no key is hot; a bit set of
+fixed size keeps most of what is not frequent out of it. Counts of all frequent phrases, their scores and the rule against parts of longer phrases are joins and
 aggregations of tables without positions.
 """
 
@@ -25,6 +25,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ from starward.sources.shared import write_shared
 #: Fewest occurrences of a phrase, most words in it, phrases reported per language.
 LEAST, LONGEST, REPORTED = 100, 5, 2000
 #: Bytes of text in a chunk, ids on the side of a tile, tables added up at once and strips of one table.
-CHUNK_BYTES, SIDE, MERGED = 8 << 20, 1024, 64
+CHUNK_BYTES, SIDE, MERGED = 3 << 20, 1024, 64
 #: Pairs of a chunk on a tile from which on direct address takes less than sorting.
 DENSE = SIDE * SIDE // 64
 #: Pairs in a strip of the whole table.
@@ -46,6 +48,10 @@ NO_LANGUAGE = "und"
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"." * len(BREAKS) + b" " + bytes(range(97, 123)))
 BREAK = -1
+#: Rows handed over at once.
+ROWS = 1 << 16
+#: Bits of a sieve of frequent words or pairs (8 MB), and of what is sent of it at once.
+SIEVE, SIEVE_BLOCK = 1 << 26, 1 << 16
 
 
 def pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
@@ -73,7 +79,7 @@ def _chunks(size: int) -> Callable:
                 flat = np.concatenate(places)
                 counts = np.bincount(flat[flat >= 0], minlength=len(numbers) - 1)
                 words = [word.decode() for word in numbers][1:]
-                rows.append((chunk_number(made), lang, int(counts.sum()), words, pack(counts), pack(flat)))
+                rows.append((chunk_number(made + len(rows)), lang, int(counts.sum()), words, pack(counts), pack(flat)))
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -88,21 +94,93 @@ def _chunks(size: int) -> Callable:
                     held += sum(map(len, found))
                     if held >= size:
                         yield flush()
-                        languages, held, made = {}, 0, made + 1
+                        languages, held, made = {}, 0, made + len(languages)
         if languages:
             yield flush()
 
     return build
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per distinct word of a chunk, with its number there."""
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a row may hold megabytes."""
     for batch in batches:
-        for row in batch.to_pylist():
-            n = len(row["words"])
-            columns = [pa.array(np.full(n, row["chunk"])), pa.array([row["lang"]] * n, pa.string()), pa.array(np.arange(n))]
-            columns += [pa.array(row["words"], pa.string()), pa.array(unpack(row["counts"], np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "local", "word", "n"])
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def handed(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for k in range(0, whole.num_rows, ROWS):
+        yield whole.slice(k, ROWS)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per distinct word of a chunk."""
+    for row in each(batches):
+        lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(row["words"]), np.int32)), pa.array([row["lang"]]))
+        columns = [lang.cast(pa.string()), pa.array(row["words"], pa.string()), pa.array(unpack(row["counts"], np.int64))]
+        yield from handed(["lang", "word", "n"], columns)
+
+
+def word_hashes(languages: list[str], words: list[str]) -> np.ndarray:
+    keys = zip(languages, words, strict=True)
+    return np.fromiter((xxhash.xxh3_64_intdigest(f"{lang}\n{word}") for lang, word in keys), np.uint64, len(words))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64))
+
+
+def _sieve_blocks(hashes: Callable) -> Callable:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(hashes(*batch.columns) % np.uint64(SIEVE)).astype(np.int64)
+            block = bits // SIEVE_BLOCK
+            for own in np.split(bits, np.flatnonzero(np.diff(block)) + 1) if len(bits) else ():
+                marks = np.zeros(SIEVE_BLOCK, bool)
+                marks[own % SIEVE_BLOCK] = True
+                data = pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([own[0] // SIEVE_BLOCK]), data], names=["block", "marks"])
+
+    return build
+
+
+def _either(rows: pa.Table) -> pa.Table:
+    every = [np.frombuffer(x.as_py(), np.uint8) for x in rows["marks"]]
+    return pa.table({"block": rows["block"][:1], "marks": pa.array([np.bitwise_or.reduce(every).tobytes()], pa.binary())})
+
+
+def sieve(known: DataFrame, hashes: Callable) -> Broadcast:
+    """A bit set of the hashes of ``known`` for all tasks, ``SIEVE`` bits however many there are.
+
+    What it lets through in error costs a row in the join behind it and changes nothing.
+    """
+    blocks = known.mapInArrow(_sieve_blocks(hashes), "block long, marks binary")
+    blocks = blocks.groupBy("block").applyInArrow(_either, "block long, marks binary")
+    whole = np.zeros((SIEVE // SIEVE_BLOCK, SIEVE_BLOCK // 8), np.uint8)
+    for row in blocks.collect():  # bounded: SIEVE bits
+        whole[row.block] = np.frombuffer(row.marks, np.uint8)
+    return known.sparkSession.sparkContext.broadcast(whole.reshape(-1))
+
+
+def passing(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    bits = (hashes % np.uint64(SIEVE)).astype(np.int64)
+    return (marks[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
+
+
+def _word_rows(marks: Broadcast) -> Callable:
+    """The words of a chunk that may be frequent, each with its number there."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each(batches):
+            words = row["words"]
+            local = np.flatnonzero(passing(word_hashes([row["lang"]] * len(words), words), marks.value))
+            lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(local), np.int32)), pa.array([row["lang"]]))
+            columns = [pa.array(np.full(len(local), row["chunk"])), lang.cast(pa.string()), pa.array(local)]
+            columns.append(pa.array([words[k] for k in local.tolist()], pa.string()))
+            yield from handed(["chunk", "lang", "local", "word"], columns)
+
+    return build
 
 
 def ranked(counts: DataFrame, names: list[str], label: str) -> DataFrame:
@@ -118,12 +196,18 @@ def _own(rows: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
     return own, known["local"].to_numpy(), known["id"].to_numpy()
 
 
-STATE = "chunk long, lang string, words binary, phrases binary"
+STATE = "chunk long, words binary, phrases binary"
 
 
-def _state(own: dict, words: np.ndarray, phrases: np.ndarray) -> pa.Table:
-    made = {"words": pa.array([pack(words)], pa.binary()), "phrases": pa.array([pack(phrases)], pa.binary())}
-    return pa.table({"chunk": pa.array([own["chunk"]], pa.int64()), "lang": pa.array([own["lang"]], pa.string()), **made})
+def _state(own: dict, words: np.ndarray, phrases: np.ndarray | None) -> pa.Table:
+    """``phrases`` are the words themselves if there are none yet."""
+    made = [pack(words), b"" if phrases is None else pack(phrases)]
+    return pa.table({"chunk": pa.array([own["chunk"]], pa.int64()), "words": pa.array(made[:1], pa.binary()), "phrases": pa.array(made[1:], pa.binary())})
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    words = unpack(row["words"], np.int64)
+    return words, unpack(row["phrases"], np.int64) if row["phrases"] else words
 
 
 def _first_state(rows: pa.Table) -> pa.Table:
@@ -132,7 +216,7 @@ def _first_state(rows: pa.Table) -> pa.Table:
     places = unpack(own["words"], np.int32)
     ids = np.full(max(places.max(initial=0), 0) + 2, BREAK, np.int64)  # the last cell is for breaks
     ids[local] = id_
-    return _state(own, ids[places], ids[places])
+    return _state(own, ids[places], None)
 
 
 def pairs(words: np.ndarray, phrases: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,9 +229,16 @@ def pairs(words: np.ndarray, phrases: np.ndarray, length: int) -> tuple[np.ndarr
     return at, phrases[at], words[at + length]
 
 
+def _sorted(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order of pairs by both ids; of ids below 2**31 by one number."""
+    if max(first.max(initial=0), second.max(initial=0)) < 1 << 31:
+        return np.argsort((first << 32) | second, kind="stable")
+    return np.lexsort((second, first))
+
+
 def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs, how often each occurs, and the number of each pair given."""
-    order = np.lexsort((second, first))
+    order = _sorted(first, second)
     a, b = first[order], second[order]
     new = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)
     start, number = np.flatnonzero(new), np.empty(len(order), np.int64)
@@ -160,8 +251,8 @@ def _next_state(length: int) -> Callable:
 
     def build(rows: pa.Table) -> pa.Table:
         own, local, id_ = _own(rows)
-        words = unpack(own["words"], np.int64)
-        at, first, second = pairs(words, unpack(own["phrases"], np.int64), length)
+        words, phrases = _unpacked(own)
+        at, first, second = pairs(words, phrases, length)
         ids = np.full(len(at) + 1, BREAK, np.int64)
         ids[local] = id_
         phrases = np.full(len(words), BREAK, np.int64)
@@ -171,17 +262,16 @@ def _next_state(length: int) -> Callable:
     return build
 
 
-def _pair_rows(length: int) -> Callable:
-    """One row per distinct pair of a chunk, with its number there."""
+def _pair_rows(length: int, marks: Broadcast) -> Callable:
+    """The distinct pairs of a chunk that may be frequent, each with its number there."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, first, second = pairs(unpack(row["words"], np.int64), unpack(row["phrases"], np.int64), length)
-                first, second, *_ = distinct(first, second)
-                columns = [pa.array(np.full(len(first), row["chunk"])), pa.array([row["lang"]] * len(first), pa.string())]
-                columns += [pa.array(np.arange(len(first))), pa.array(first), pa.array(second)]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "local", "first", "second"])
+        for row in each(batches):
+            _, first, second = pairs(*_unpacked(row), length)
+            first, second, *_ = distinct(first, second)
+            local = np.flatnonzero(passing(pair_hashes(first, second), marks.value))
+            columns = [np.full(len(local), row["chunk"]), local, first[local], second[local]]
+            yield from handed(["chunk", "local", "first", "second"], [pa.array(c) for c in columns])
 
     return build
 
@@ -218,18 +308,17 @@ def _tile_sizes(length: int, side: int) -> Callable:
     """Pairs of a chunk per tile."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, first, second = pairs(unpack(row["words"], np.int64), unpack(row["phrases"], np.int64), length)
-                tile, size = np.unique(tile_of(first, second, side), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(size)], names=["tile", "size"])
+        for row in each(batches):
+            _, first, second = pairs(*_unpacked(row), length)
+            tile, size = np.unique(tile_of(first, second, side), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(size)], names=["tile", "size"])
 
     return build
 
 
 def dealt(first: np.ndarray, second: np.ndarray, counts: np.ndarray, strips: int) -> Iterator[tuple]:
     """Sorted pairs by strip. The strip in one of more strips says that in fewer."""
-    strip = (mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)) % np.uint64(strips)).astype(np.int64)
+    strip = (pair_hashes(first, second) % np.uint64(strips)).astype(np.int64)
     order = np.argsort(strip, kind="stable")
     cuts = np.flatnonzero(np.diff(strip[order], prepend=-1))
     for own in np.split(order, cuts[1:]):
@@ -248,10 +337,9 @@ def _table(part: int, made: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -
 
 def _count(length: int, dense: np.ndarray, strips: int, side: int) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, first, second = pairs(unpack(row["words"], np.int64), unpack(row["phrases"], np.int64), length)
-                yield from _table(row["part"], tiles(first, second, dense, strips, side)).to_batches()
+        for row in each(batches):
+            _, first, second = pairs(*_unpacked(row), length)
+            yield from _table(row["part"], tiles(first, second, dense, strips, side)).to_batches()
 
     return build
 
@@ -269,7 +357,7 @@ def summed(rows: pa.Table, side: int) -> tuple[int, np.ndarray, np.ndarray, np.n
         return column, cells // side + row * side, cells % side + column * side, total[cells]
     first, counts = np.concatenate(first), np.concatenate(counts)
     second = np.concatenate([unpack(x.as_py(), np.int64) for x in rows["second"]])
-    order = np.lexsort((second, first))
+    order = _sorted(first, second)
     first, second, counts = first[order], second[order], counts[order]
     start = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(second, prepend=-1) != 0))
     return column, first[start], second[start], np.add.reduceat(counts, start)
@@ -296,8 +384,7 @@ def _rows(side: int, least: int) -> Callable:
         for batch in batches:
             for k in range(batch.num_rows):
                 _, *pair, counts = summed(pa.Table.from_batches([batch.slice(k, 1)]), side)
-                columns = [pa.array(x[counts >= least]) for x in (*pair, counts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["first", "second", "n"])
+                yield from handed(["first", "second", "n"], [pa.array(x[counts >= least]) for x in (*pair, counts)])
 
     return build
 
@@ -312,7 +399,7 @@ def frequent_pairs(state: DataFrame, length: int, least: int) -> DataFrame:
     dense = np.array(sorted(row.tile for row in sizes.where(F.col("size") >= DENSE * parts).collect()), np.int64)
     most = 1 << (total // STRIP_PAIRS).bit_length()  # strips of the whole table
     strips = min(MERGED, most)
-    part = F.pmod(F.xxhash64("chunk", "lang"), F.lit(parts)).alias("part")
+    part = F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part")
     tables = state.select("words", "phrases", part).mapInArrow(_count(length, dense, strips, SIDE), TILE_DDL)
     while parts > 1:
         strips = min(strips * MERGED, most)
@@ -335,16 +422,18 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
         "phrase-chunks",
     )
     totals = chunks.groupBy("lang").agg(F.sum("n_words").alias("total"))
-    words = chunks.select("chunk", "lang", "words", "counts").mapInArrow(
-        _word_rows, "chunk long, lang string, local long, word string, n long"
-    )
+    words = chunks.select("lang", "words", "counts").mapInArrow(_word_counts, "lang string, word string, n long")
     counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     known = ranked(counts, ["lang", "word"], "words-ranked")
     first = known.select("id", "lang", F.col("word").alias("phrase"), "n")
     found, level, length = [first.withColumn("size", F.lit(1))], first, 1
-    answers = words.join(known.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "lang", "local", "id")
-    own = chunks.select("chunk", "lang", F.col("places").alias("words"))
-    state = together([own, answers]).groupBy("chunk", "lang").applyInArrow(_first_state, STATE)
+    marks = sieve(known.select("lang", "word"), lambda lang, word: word_hashes(lang.to_pylist(), word.to_pylist()))
+    held = chunks.select("chunk", "lang", "words").mapInArrow(
+        _word_rows(marks), "chunk long, lang string, local long, word string"
+    )
+    answers = held.join(known.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
+    own = chunks.select("chunk", F.col("places").alias("words"))
+    state = together([own, answers]).groupBy("chunk").applyInArrow(_first_state, STATE)
     while True:
         state = write_shared(state, "phrase-state")
         known = ranked(frequent_pairs(state, length, least), ["first", "second"], "pairs-ranked")
@@ -358,9 +447,10 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
         found.append(level.withColumn("size", F.lit(length)))
         if length == longest or level.isEmpty():
             return reduce(DataFrame.union, found).drop("id"), totals
-        held = state.mapInArrow(_pair_rows(length - 1), "chunk long, lang string, local long, first long, second long")
-        answers = held.join(known.drop("n"), ["first", "second"]).select("chunk", "lang", "local", "id")
-        state = together([state, answers]).groupBy("chunk", "lang").applyInArrow(_next_state(length - 1), STATE)
+        marks = sieve(known.select("first", "second"), lambda a, b: pair_hashes(a.to_numpy(), b.to_numpy()))
+        held = state.mapInArrow(_pair_rows(length - 1, marks), "chunk long, local long, first long, second long")
+        answers = held.join(known.drop("n"), ["first", "second"]).select("chunk", "local", "id")
+        state = together([state, answers]).groupBy("chunk").applyInArrow(_next_state(length - 1), STATE)
 
 
 def _words(phrase: str, first: Column, size: Column) -> Column:
