@@ -22,7 +22,7 @@ from starward.llm.word_hashes import Numbers
 #: n-grams in a profile, n-grams of a document that are compared, labelled documents per language.
 PROFILE, COMPARED, SAMPLE = 400, 300, 2000
 #: Characters of text, and cells of the table of documents by n-grams, handled at once.
-SLICE, CELLS = 2 << 20, 4 << 20
+SLICE, CELLS = 1 << 19, 1 << 20
 UNKNOWN = "und"
 SHIFT = np.uint64(21)
 
@@ -168,27 +168,40 @@ class Profiles:
                 languages[row], scores[row] = self.names[k], 1.0 - share
         return languages, scores
 
+    def of(self, column: pa.Array, compared: int) -> tuple[list[str], list[float]]:
+        """Languages and scores of a column of texts (null: empty), a slice at a time."""
+        made, texts, size = ([], []), [], 0
+        for n, text in enumerate(column, 1):
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= SLICE or n == len(column):
+                for kept, new in zip(made, self.predict(texts, compared), strict=True):
+                    kept += new
+                texts, size = [], 0
+        return made
+
 
 def _predict(profiles: dict[str, list[str]], compared: int) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Profiles(profiles)
         for batch in batches:
-            made, texts, size = ([], []), [], 0
-            for n, text in enumerate(batch.column(1), 1):
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size >= SLICE or n == batch.num_rows:
-                    for kept, new in zip(made, table.predict(texts, compared), strict=True):
-                        kept += new
-                    texts, size = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made[0], pa.string()), pa.array(made[1], pa.float64())],
-                names=["key", "lang_pred", "score"],
-            )
+            made = [pa.array(column, kind) for column, kind in zip(table.of(batch.column(1), compared), (pa.string(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "lang_pred", "score"])
 
     return predict
 
 
+def _known(profiles: dict[str, list[str]], compared: int, text: int) -> Callable:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Profiles(profiles)
+        for batch in batches:
+            languages, scores = table.of(batch.column(text).cast(pa.string()), compared)
+            fine = [name != UNKNOWN and score > 0 for name, score in zip(languages, scores, strict=True)]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return known
+
+
 def identify(
     documents: DataFrame,
     profiles: dict[str, list[str]],
@@ -201,9 +214,22 @@ def identify(
     ``score`` is 1 minus the distance as a share of the largest possible one; ties go to the first
     language by name. A null text or one without a letter is ``und`` with score 0, as is every
     text if there are no profiles. Repeated rows and null keys stay rows of their own; other
-    columns are not read, whatever their names. An empty table gives an empty result.
+    columns are not read, whatever their names. A very long text is a slice of its own, read whole
+    by one task. An empty table gives an empty result.
     """
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     found = rows.mapInArrow(_predict(profiles, compared), f"key {kind}, lang_pred string, score double")
     return found.withColumnRenamed("key", key)
+
+
+def keep_identified(
+    documents: DataFrame, profiles: dict[str, list[str]], text: str = "text", compared: int = COMPARED
+) -> DataFrame:
+    """The rows of ``documents``, unchanged, that ``identify`` gives a language with a score above 0.
+
+    Decided row by row, where the row is: nothing is shuffled. Null texts and texts without a
+    letter go; rows of any key stay rows of their own. An empty table, or no profiles, gives an
+    empty result.
+    """
+    return documents.mapInArrow(_known(profiles, compared, documents.columns.index(text)), documents.schema)

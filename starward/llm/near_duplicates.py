@@ -37,6 +37,8 @@ from starward.llm.word_hashes import Words, mix
 from starward.sources.shared import write_shared
 
 ROWS, MISS, SIGMAS, MANTISSA = 8, 1e-6, 5, 10
+#: Bands a class should have at most: each is a row that is shuffled.
+MOST_BANDS = 50
 #: Bytes of text that are hashed at once.
 SLICE = 4 << 20
 #: Members of a band, and shingles of members, that are compared with as many others in one task.
@@ -46,8 +48,18 @@ CHANCE = 0.169919487159739093975315012348
 SALTS = [np.uint64(0x8E9D5A3F1C2B4D67), np.uint64(0xD1B54A32D192ED03)]
 
 
+def bands_of(threshold: float, rows: int) -> int:
+    """Bands of so many registers that miss a pair at the threshold with probability MISS."""
+    return ceil(log(MISS) / log1p(-(threshold**rows))) if threshold < 1 else 1
+
+
+def rows_for(threshold: float) -> int:
+    """Registers of a band: the most, up to ``ROWS``, for which ``MOST_BANDS`` bands suffice."""
+    return max((rows for rows in range(1, ROWS + 1) if bands_of(threshold, rows) <= MOST_BANDS), default=1)
+
+
 def bands_for(threshold: float) -> int:
-    return ceil(log(MISS) / log1p(-(threshold**ROWS)))
+    return bands_of(threshold, rows_for(threshold))
 
 
 def deviation(threshold: float, registers: int, smaller):
@@ -205,7 +217,7 @@ class Band:
             smaller, larger = np.minimum(self.sizes, self.sizes[x]), np.maximum(self.sizes, self.sizes[x])
             ys = np.flatnonzero(fine & (smaller * 100 >= larger * self.percent))
             same = self.sketches[ys] == self.sketches[x]
-            equal = same.reshape(-1, self.bands, ROWS).all(axis=2)
+            equal = same.reshape(-1, self.bands, self.registers // self.bands).all(axis=2)
             estimate = same.mean(axis=1) + SIGMAS * deviation(t, self.registers, smaller[ys])
             ys = ys[equal[:, self.at] & ~equal[:, : self.at].any(axis=1) & (estimate >= t)]
             if len(ys):
@@ -254,8 +266,8 @@ def _across(percent: int, bands: int, registers: int) -> Callable:
 class _Finder:
     def __init__(self, documents: DataFrame, words: int, percent: int):
         self.documents, self.words, self.percent = documents, words, percent
-        self.bands = bands_for(percent / 100)
-        self.registers = self.bands * ROWS
+        self.bands, self.in_band = bands_for(percent / 100), rows_for(percent / 100)
+        self.registers = self.bands * self.in_band
         self.rows = write_shared(
             documents.mapInArrow(
                 _sketches(words, self.registers),
@@ -279,7 +291,7 @@ class _Finder:
 
     def band_members(self) -> DataFrame:
         """(band, at, rep, leader, size) of bands of two classes or more."""
-        width = 2 * ROWS
+        width = 2 * self.in_band
         hashed = F.transform(
             F.sequence(F.lit(0), F.lit(self.bands - 1)),
             lambda b: F.xxhash64(b, F.substring("registers", b * width + 1, F.lit(width))),
