@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from starward.llm.language_id import learn_profiles
+from starward.llm.decontamination import keep_uncontaminated
+from starward.llm.language_id import keep_identified, learn_profiles
+from starward.sources.shared import shared_folder
 
 from . import test_bpe, test_decontamination, test_language_id, test_near_duplicates, test_personal_data
 
@@ -77,6 +81,28 @@ def test_every_stage_on_odd_rows(spark, documents, tiny):
     assert len(result(spark, folder)) == 5
 
 
+def test_only_the_last_stage_leaves_a_folder(spark, documents, tiny):
+    text = "The mail of the one is a.b@c.de and the rest of the text is for the reader to read"
+    docs = documents([(k, f"{text} {k % 3}") for k in range(12)])
+    folder = tiny(documents=docs, benchmark=spark.createDataFrame([(1, "an item that is not there")], "item_id long, text string"))
+    place = Path(shared_folder(spark).removeprefix("file:")) / "starward"
+    before = set(place.iterdir()) if place.exists() else set()
+    assert len(result(spark, folder)) == 1
+    (left,) = set(place.iterdir()) - before
+    assert [p.name for p in left.iterdir()] == ["4"]
+
+
+def test_decisions_by_row_move_no_texts(spark, documents, conf):
+    """Language id and decontamination have no exchange above the scan of the documents."""
+    conf("spark.sql.adaptive.enabled", "false")
+    docs = documents([(1, "the text of one")])
+    items = spark.createDataFrame([(1, "an item that is not there")], "item_id long, text string")
+    for kept in (keep_identified(docs, {"en": ["a", "b"]}), keep_uncontaminated(docs, items)):
+        above = kept._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+        assert len(above) == 2 and "Exchange" not in above[0]
+        assert kept.schema == docs.schema
+
+
 def test_empty_tables(spark, documents, tiny):
     folder = tiny(documents=documents([]), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert result(spark, folder) == []
