@@ -32,7 +32,9 @@ BLOCK_ITEMS = 20_000
 #: Shortest item of a family of walks: (length of the walk, sampled coordinates, repetitions).
 FAMILIES = {16: (14, 5, 20), 8: (7, 5, 12), 5: (5, 3, 4)}
 #: Characters of text handled at once, and window starts and candidates handled at once.
-SLICE, STARTS, CHECKED = 4 << 20, 1 << 19, 4096
+SLICE, STARTS, CHECKED = 1 << 20, 1 << 18, 4096
+#: Raw words whose numbers a task remembers.
+REMEMBERED = 1 << 17
 PAD = -1
 
 
@@ -62,8 +64,9 @@ class Vocabulary(dict):
     def __missing__(self, raw: str) -> int:
         word = clean(raw)
         number = self.items.get(word, 0) if word else PAD
-        if len(self) < 1_000_000:
-            self[raw] = number
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[raw] = number
         return number
 
 
