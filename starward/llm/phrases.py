@@ -246,6 +246,21 @@ def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return a[start], b[start], np.diff(start, append=len(order)), number
 
 
+def covered(words: np.ndarray, phrases: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words inside frequent phrases of ``size`` words; what stands between them is one break.
+
+    All parts of a frequent phrase are frequent, so no longer one needs the other words.
+    """
+    start = np.flatnonzero(phrases >= 0)
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + size, -1)
+    inside = np.cumsum(change[:-1]) > 0
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    return np.where(inside, words, BREAK)[kept], phrases[kept]
+
+
 def _next_state(length: int) -> Callable:
     """The state of a chunk with phrases one word longer."""
 
@@ -257,7 +272,7 @@ def _next_state(length: int) -> Callable:
         ids[local] = id_
         phrases = np.full(len(words), BREAK, np.int64)
         phrases[at] = ids[distinct(first, second)[3]]
-        return _state(own, words, phrases)
+        return _state(own, *covered(words, phrases, length + 1))
 
     return build
 

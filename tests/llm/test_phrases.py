@@ -111,6 +111,13 @@ def test_dense_tiles_are_those_most_pairs_fall_on():
     assert finer == []
 
 
+def test_words_outside_frequent_phrases_become_one_break():
+    words, phrases_ = np.arange(10), np.array([-1, 7, -1, -1, -1, -1, 8, 9, -1, -1])
+    kept, starts = phrases.covered(words, phrases_, 2)
+    assert kept.tolist() == [1, 2, -1, 6, 7, 8, -1] and starts.tolist() == [7, -1, -1, 8, 9, -1, -1]
+    assert [x.tolist() for x in phrases.covered(words, np.full(10, -1), 2)] == [[], []]
+
+
 def test_only_the_result_stays(spark, texts):
     from starward.sources.shared import write_result
 
