@@ -93,7 +93,7 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         if size >= words:
             yield np.unique(rolled[start : start + size - words + 1])
         elif size:
-            whole = np.append(found.hashes[0][start : start + size], SALTS[0] * np.uint64(size))
+            whole = np.append(found.hashes[0][start : start + size], SALTS[0] * np.array([size], np.uint64))
             yield mix(np.bitwise_xor.accumulate(mix(whole * np.arange(1, 2 * size + 3, 2, np.uint64)))[-1:])
         else:
             yield np.zeros(0, np.uint64)
