@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starward.llm.packing import lean
+
 BLOCK_ITEMS = 20_000
 #: Shortest item of a family of walks: (length of the walk, sampled coordinates, repetitions).
 FAMILIES = {16: (14, 5, 20), 8: (7, 5, 12), 5: (5, 3, 4)}
@@ -312,7 +314,9 @@ def keep_uncontaminated(
     keeps all rows, an empty table gives an empty result.
     """
     for sent in _sent(documents, benchmark, item, item_text):
-        documents = documents.mapInArrow(_clean(sent, ratio, documents.columns.index(text)), documents.schema)
+        documents = documents.mapInArrow(
+            lean(_clean(sent, ratio, documents.columns.index(text))), documents.schema
+        )
     return documents
 
 
@@ -338,7 +342,7 @@ def contaminated(
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     found = [
-        rows.mapInArrow(_search(sent, ratio), f"key {kind}, item long, edits long, first long, end long")
+        rows.mapInArrow(lean(_search(sent, ratio)), f"key {kind}, item long, edits long, first long, end long")
         for sent in _sent(documents, benchmark, item, item_text)
     ]
     every = reduce(DataFrame.union, found)

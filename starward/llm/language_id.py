@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starward.llm.packing import lean
 from starward.llm.word_hashes import Numbers
 
 #: n-grams in a profile, n-grams of a document that are compared, labelled documents per language.
@@ -219,7 +220,7 @@ def identify(
     """
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    found = rows.mapInArrow(_predict(profiles, compared), f"key {kind}, lang_pred string, score double")
+    found = rows.mapInArrow(lean(_predict(profiles, compared)), f"key {kind}, lang_pred string, score double")
     return found.withColumnRenamed("key", key)
 
 
@@ -232,4 +233,4 @@ def keep_identified(
     letter go; rows of any key stay rows of their own. An empty table, or no profiles, gives an
     empty result.
     """
-    return documents.mapInArrow(_known(profiles, compared, documents.columns.index(text)), documents.schema)
+    return documents.mapInArrow(lean(_known(profiles, compared, documents.columns.index(text))), documents.schema)

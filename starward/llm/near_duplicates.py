@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starward.llm.components import connected_components, local_roots
-from starward.llm.packing import stored
+from starward.llm.packing import lean, stored
 from starward.llm.word_hashes import Words, mix
 from starward.sources.shared import write_shared
 
@@ -270,7 +270,7 @@ class _Finder:
         self.registers = self.bands * self.in_band
         self.rows = write_shared(
             documents.mapInArrow(
-                _sketches(words, self.registers),
+                lean(_sketches(words, self.registers)),
                 "key long, n_shingles long, print binary, registers binary",
             ),
             "sketches",
@@ -309,7 +309,7 @@ class _Finder:
         needed = self.few(named, "needed", 24)
         made = (
             self.documents.join(needed.select("key").distinct(), "key", "left_semi")
-            .mapInArrow(_sets(self.words), "key long, print binary, shingles array<long>")
+            .mapInArrow(lean(_sets(self.words)), "key long, print binary, shingles array<long>")
             .join(needed, ["key", "print"], "left_semi")
             .dropDuplicates(["key", "print"])
         )
@@ -328,7 +328,7 @@ class _Finder:
             .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
         )
         likely = self.few(
-            fit.mapInArrow(_likely(self.percent / 100, self.registers), "a long, b long"), "likely", 16
+            fit.mapInArrow(lean(_likely(self.percent / 100, self.registers)), "a long, b long"), "likely", 16
         )
         sets = self.sets(likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct())
         common = F.size(F.array_intersect("s_a", "s_b"))

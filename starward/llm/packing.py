@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +67,22 @@ def buckets_for(spark: SparkSession, amount: int | None, per_bucket: int) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(amount or 0) // per_bucket))
 
 
+def lean(work: Callable) -> Callable:
+    """``work`` over Arrow batches, giving back what the allocators keep when a task ends.
+
+    A worker waits for its next task beside the executor's heap; what it keeps is lost to both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            pa.system_memory_pool().release_unused()
+
+    return run
+
+
 #: Bytes of rows in one file of a stored table.
 FILE_BYTES = 32 << 20
 
