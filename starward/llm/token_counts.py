@@ -37,16 +37,19 @@ def pieces(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0") if "\0" not in text else PIECE.findall(text)
 
 
-def segments(text: str, size: int) -> Iterator[str]:
-    """The text in parts of about ``size`` characters, cut at safe boundaries only."""
-    start = 0
-    while len(text) - start > size:
-        cut = SAFE.search(text, start + size)
+def segments(text: str, size: int) -> Iterator[tuple[str, int]]:
+    """The text in parts of about ``size`` bytes, cut at safe boundaries only, with their bytes."""
+    data, start, at = text.encode(), 0, 0
+    while len(data) - at > size:
+        whole = len(data[at : at + size].decode(errors="ignore"))  # characters in the next bytes
+        cut = SAFE.search(text, start + max(whole, 1))
         if not cut:
             break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:] if start else text
+        part = text[start : cut.start()]
+        n_bytes = len(part.encode())
+        yield part, n_bytes
+        start, at = cut.start(), at + n_bytes
+    yield text[start:] if start else text, len(data) - at
 
 
 @lru_cache(maxsize=4)
@@ -94,6 +97,7 @@ def token_counts(
     defaults hold: the string of a special token inside a text is that token; none is added,
     nothing is cut or padded. A null or empty text has 0 bytes and 0 tokens. Rows that repeat
     or have a null key stay rows of their own; other columns are not read, whatever their names.
+    A very long text is read whole by one task, a segment at a time. An empty table gives an empty result.
     """
 
     def count(batches):
@@ -103,11 +107,11 @@ def token_counts(
             n_bytes, n_tokens = [0] * len(texts), [0] * len(texts)
             rows, parts, size = [], [], 0
             for row, whole in enumerate(texts):
-                n_bytes[row] = len((whole or "").encode())
-                for part in segments(whole or "", BATCH_BYTES):
+                for part, part_bytes in segments(whole or "", BATCH_BYTES):
                     rows.append(row)
                     parts.append(part)
-                    size += len(part)
+                    n_bytes[row] += part_bytes
+                    size += part_bytes
                     if size >= BATCH_BYTES:
                         for at, n in zip(rows, counter.count(parts), strict=True):
                             n_tokens[at] += n

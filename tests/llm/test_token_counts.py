@@ -28,8 +28,15 @@ def test_pieces_add_up_to_the_library(texts):
 @given(TEXT, st.integers(1, 10))
 def test_segments_are_cut_safely(text, size):
     parts = list(segments(text, size))
-    assert "".join(parts) == text
-    assert sum(map(expected, parts)) == expected(text)
+    assert "".join(part for part, _ in parts) == text
+    assert [n for _, n in parts] == [len(part.encode()) for part, _ in parts]
+    assert sum(expected(part) for part, _ in parts) == expected(text)
+
+
+def test_segments_follow_bytes_in_any_script():
+    for word in ("word ", "слово ", "中文字 ", "😀 "):
+        sizes = [n for _, n in segments(word * 5000, 4096)]
+        assert len(sizes) > 4 and all(4096 <= n < 4096 + len(word.encode()) for n in sizes[:-1])
 
 
 def test_rows(spark, documents):
