@@ -13,7 +13,7 @@ from starward.llm.decontamination import contaminated
 from starward.llm.embeddings import embedding_duplicates
 from starward.llm.fingerprints import edited_likeness
 from starward.llm.language_id import held_out, identify, learn_profiles
-from starward.llm.licenses import license_matches, notices
+from starward.llm.licenses import license_matches, license_texts, notices
 from starward.llm.near_duplicates import near_duplicates
 from starward.llm.oracle import ORACLE
 from starward.llm.personal_data import KINDS, personal_data, span_list
@@ -38,8 +38,9 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """License notices in documents."""
-    return license_matches(table(spark, folder, "documents"), notices(spark))
+    """License notices and whole license texts in documents."""
+    templates = notices(spark).union(license_texts(spark))
+    return write_result(spark, lambda: license_matches(table(spark, folder, "documents"), templates), "licenses")
 
 
 def op3_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:

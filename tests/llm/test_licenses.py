@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from starward.llm.licenses import NOTICES, license_matches, notices
+from starward.llm import licenses
+from starward.llm.licenses import NOTICES, TEXTS, license_matches, notices
 
 
 def shingles(text):
@@ -60,6 +61,43 @@ def test_against_brute_force(spark, documents):
     assert len(whole & got.keys()) >= 0.99 * len(whole)
 
 
+@pytest.mark.parametrize("block", [50_000, 100])
+def test_whole_texts_against_brute_force(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(licenses, "BLOCK", block)
+    pick = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(200)]
+    texts = TEXTS | {f"long-{k}": " ".join(pick.choices(vocabulary, k=700)) for k in range(2)}
+    rows = []
+    for key in range(60):
+        body = pick.choices(vocabulary, k=pick.randint(0, 200))
+        copy = pick.choice(list(texts.values())).split()
+        for _ in range(len(copy) * (key % 4) // 50):
+            copy[pick.randrange(len(copy))] = "changed"
+        at = pick.randint(0, len(body))
+        rows.append((key, " ".join(body[:at] + copy + body[at:])))
+    templates = spark.createDataFrame(list(texts.items()), "license string, text string")
+    got, want = collected(documents(rows), templates), brute_force(rows, list(texts.items()))
+    assert got == want and len(want) > 45
+
+
+def test_copies_of_a_long_text_are_confirmed_once_per_run(spark, documents):
+    """Thousands of windows agree; the index is linear and the work too: quadratic, this would not end."""
+    pick = random.Random(6)
+    text = " ".join(f"w{n}" for n in pick.choices(range(3000), k=5000))
+    rows = [(k, f"before it {text} after it") for k in range(200)]
+    templates = spark.createDataFrame([("long", text)], "license string, text string")
+    got = license_matches(documents(rows), templates).collect()
+    assert {(r.license, r.containment, r.first_word, r.end_word) for r in got} == {("long", 1.0, 2, 5002)}
+    assert len(got) == 200
+
+
+def test_plan_stays_in_the_jvm_and_moves_no_text(spark, documents):
+    plan = license_matches(documents([(1, "a b c")]), notices(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("text#" in line or "own#" in line for line in moved)
+
+
 def test_edges(spark, documents):
     apache = NOTICES["Apache-2.0"]
     rows = [
@@ -86,4 +124,4 @@ def test_query(spark, folder):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     got = {(r.doc_id, r.license): r.containment for r in QUERIES["op2_license_scan"](spark, folder).collect()}
-    assert got == brute_force(rows, list(NOTICES.items())) and got
+    assert got == brute_force(rows, list((NOTICES | TEXTS).items())) and got
