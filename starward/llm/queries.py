@@ -45,7 +45,8 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of vectors with a cosine of 0.9 or more."""
-    return embedding_duplicates(table(spark, folder, "embeddings"), threshold=0.9)
+    vectors = table(spark, folder, "embeddings")
+    return write_result(spark, lambda: embedding_duplicates(vectors, threshold=0.9), "embeddings")
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,17 +61,21 @@ def op5_warc_audit(spark: SparkSession, folder: str) -> DataFrame:
     In the copy, a byte in the middle of the record differs where the page's id is divisible by
     101, and records whose id leaves 7 when divided by 211 are lost.
     """
-    records = warc_records(table(spark, folder, "pages"))
-    middle = F.floor(F.length("record") / 2).cast("int")
-    flipped = F.when(F.substring("record", middle, F.lit(1)) == b"#", F.lit(b"-")).otherwise(F.lit(b"#"))
-    damaged = F.overlay("record", flipped, middle, F.lit(1))
-    kept = F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))
-    copy = records.where(kept).withColumn(
-        "record", F.when(F.col("page_id") % 101 == 0, damaged).otherwise(F.col("record"))
-    )
-    found = audit(merkle_tree(fixity(records)), merkle_tree(fixity(copy)))
-    placed = records.select("page_id", "archive", "place")
-    return found.join(placed, ["archive", "place"]).select("page_id", "status", "length", "found_length")
+
+    def build() -> DataFrame:
+        records = warc_records(table(spark, folder, "pages"))
+        middle = F.floor(F.length("record") / 2).cast("int")
+        flipped = F.when(F.substring("record", middle, F.lit(1)) == b"#", F.lit(b"-")).otherwise(F.lit(b"#"))
+        damaged = F.overlay("record", flipped, middle, F.lit(1))
+        kept = F.coalesce(F.col("page_id") % 211 != 7, F.lit(True))
+        copy = records.where(kept).withColumn(
+            "record", F.when(F.col("page_id") % 101 == 0, damaged).otherwise(F.col("record"))
+        )
+        found = audit(merkle_tree(fixity(records)), merkle_tree(fixity(copy)))
+        named = found.join(records.select("page_id", "archive", "place"), ["archive", "place"])
+        return named.select("page_id", "status", "length", "found_length")
+
+    return write_result(spark, build, "audit")
 
 
 def op6_contaminated(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,14 +85,18 @@ def op6_contaminated(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_cut_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the 13-word windows that a smaller document has as well."""
-    return cut_repeats(table(spark, folder, "documents"), window=13).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
-    )
+
+    def build() -> DataFrame:
+        cut = cut_repeats(table(spark, folder, "documents"), window=13)
+        return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+    return write_result(spark, build, "repeats")
 
 
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents that share 85 % of their 3-word shingles."""
-    return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+    documents = table(spark, folder, "documents")
+    return write_result(spark, lambda: near_duplicates(documents, words=3, percent=85), "duplicates")
 
 
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,15 +113,18 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of personal data, and of the terms that disclose it."""
-    found = personal_data(table(spark, folder, "documents"))
 
     def count(kind: str):
         own = F.filter("base", lambda s: s["kind"] == KINDS.index(kind))
         return F.size(own).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in KINDS[:4]]
-    digest = F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, span_list(F.col("spans")).alias("spans"))
+    def build() -> DataFrame:
+        found = personal_data(table(spark, folder, "documents"))
+        counts = [count(kind) for kind in KINDS[:4]]
+        digest = F.sha2(span_list(F.col("base")).cast("binary"), 256).alias("base_sha256")
+        return found.select("doc_id", *counts, digest, span_list(F.col("spans")).alias("spans"))
+
+    return write_result(spark, build, "personal")
 
 
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
