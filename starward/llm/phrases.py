@@ -3,19 +3,21 @@
 Texts are packed into chunks of word numbers once. Frequent words get ids by rank of frequency over
 the whole corpus, and each occurrence is rewritten to its id. Then, level by level:
 
-1. Two neighbours (a frequent phrase and the word behind it) are a pair of ids. The plane of all
-   pairs is cut into tiles of ``SIDE`` by ``SIDE``. As ids are ranks, most occurrences fall on the few
-   tiles near the origin: a tile with enough of them is counted by direct address, with a dense
-   ``bincount``; the rest of the plane is dealt to strips and kept as sorted coordinates with counts.
-2. Tiles of chunks are added up in a tree of at most ``MERGED`` at a time, so that the tile of the
+1. Two neighbours are a pair of ids. The plane of all pairs is cut into tiles of ``SIDE`` by
+   ``SIDE``. As ids are ranks, most occurrences fall on the few tiles near the origin: a tile with
+   enough of them is counted by direct address, with a dense ``bincount``; the rest of the plane is
+   dealt to strips and kept as sorted coordinates with counts. Longer phrases are all in strips.
+2. Tables of chunks are added up in a tree of at most ``MERGED`` at a time, so that the tile of the
    most frequent words is no large group however many chunks there are.
-3. Pairs that reach the minimum are ranked by frequency; their ranks are the ids of the next level,
-   whose pairs are (phrase, next word) again. A phrase is as rare as its rarest part, so only
-   positions where both the phrase and the one that starts a word later are frequent go on.
-
-The ids come back to the chunks by a join on what each chunk holds once, so no key is hot; a bit set of
-fixed size keeps most of what is not frequent out of it. Counts of all frequent phrases, their scores and the rule against parts of longer phrases are joins and
-aggregations of tables without positions.
+3. A bit set of the phrases that reach the minimum goes to the tasks. A phrase is as rare as its rarest
+   part, so only places where a frequent phrase starts, and another one a word later, are counted for
+   the next level. What the bit set, of fixed size, lets through in error is counted in vain and dropped
+   with all else below the minimum: counts are of whole phrases, word by word.
+
+The ids of words come back to the chunks by a join on what each chunk holds once, so no key is hot. That
+is the only time that places move; phrases are marked where the chunk is. Counts of all frequent
+phrases, their scores and the rule against parts of longer phrases are joins and aggregations of
+tables without places.
 """
 
 from __future__ import annotations
@@ -38,11 +40,11 @@ from starward.sources.shared import write_shared
 #: Fewest occurrences of a phrase, most words in it, phrases reported per language.
 LEAST, LONGEST, REPORTED = 100, 5, 2000
 #: Bytes of text in a chunk, ids on the side of a tile, tables added up at once and strips of one table.
-CHUNK_BYTES, SIDE, MERGED = 3 << 20, 1024, 64
+CHUNK_BYTES, SIDE, MERGED = 16 << 20, 1024, 256
 #: Pairs of a chunk on a tile from which on direct address takes less than sorting.
 DENSE = SIDE * SIDE // 64
-#: Pairs in a strip of the whole table.
-STRIP_PAIRS = 1 << 18
+#: Phrases in a strip of the whole table, and ids of last words that keep phrases of the same other words together.
+STRIP_PAIRS, NEAR = 1 << 18, 1 << 12
 NO_LANGUAGE = "und"
 #: What ends a piece; tabs are blanks; A-Z in lower case.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -50,7 +52,7 @@ TABLE = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"." * len(BREAKS
 BREAK = -1
 #: Rows handed over at once.
 ROWS = 1 << 16
-#: Bits of a sieve of frequent words or pairs (8 MB), and of what is sent of it at once.
+#: Bits of a sieve of frequent words or phrases (8 MB), and of what is sent of it at once.
 SIEVE, SIEVE_BLOCK = 1 << 26, 1 << 16
 
 
@@ -127,8 +129,12 @@ def word_hashes(languages: list[str], words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(f"{lang}\n{word}") for lang, word in keys), np.uint64, len(words))
 
 
-def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64))
+def phrase_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """Of phrases given by a column of ids for every word."""
+    found = columns[0].astype(np.uint64)
+    for ids in columns[1:]:
+        found = mix(found * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64))
+    return found
 
 
 def _sieve_blocks(hashes: Callable) -> Callable:
@@ -153,7 +159,7 @@ def _either(rows: pa.Table) -> pa.Table:
 def sieve(known: DataFrame, hashes: Callable) -> Broadcast:
     """A bit set of the hashes of ``known`` for all tasks, ``SIEVE`` bits however many there are.
 
-    What it lets through in error costs a row in the join behind it and changes nothing.
+    What it lets through in error costs a row in the join or count behind it and changes nothing.
     """
     blocks = known.mapInArrow(_sieve_blocks(hashes), "block long, marks binary")
     blocks = blocks.groupBy("block").applyInArrow(_either, "block long, marks binary")
@@ -196,54 +202,67 @@ def _own(rows: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
     return own, known["local"].to_numpy(), known["id"].to_numpy()
 
 
-STATE = "chunk long, words binary, phrases binary"
+STATE = "chunk long, words binary, phrases binary, places long"
 
 
-def _state(own: dict, words: np.ndarray, phrases: np.ndarray | None) -> pa.Table:
-    """``phrases`` are the words themselves if there are none yet."""
-    made = [pack(words), b"" if phrases is None else pack(phrases)]
-    return pa.table({"chunk": pa.array([own["chunk"]], pa.int64()), "words": pa.array(made[:1], pa.binary()), "phrases": pa.array(made[1:], pa.binary())})
+def _state(chunk: int, words: np.ndarray, phrases: np.ndarray | None, length: int) -> pa.Table:
+    """Ids of words; 0 where a phrase of ``length`` words that may be frequent starts, a word if there are none yet."""
+    ready = len(places(words, words if phrases is None else phrases, length))
+    made = [chunk, pack(words), b"" if phrases is None else pack(phrases), ready]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.table([pa.array([x], k) for x, k in zip(made, kinds, strict=True)], names=["chunk", "words", "phrases", "places"])
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     words = unpack(row["words"], np.int64)
-    return words, unpack(row["phrases"], np.int64) if row["phrases"] else words
+    return words, unpack(row["phrases"], np.int8) if row["phrases"] else words
 
 
 def _first_state(rows: pa.Table) -> pa.Table:
     """A chunk of one language with ids for numbers; rare words are breaks."""
     own, local, id_ = _own(rows)
-    places = unpack(own["words"], np.int32)
-    ids = np.full(max(places.max(initial=0), 0) + 2, BREAK, np.int64)  # the last cell is for breaks
+    numbers = unpack(own["words"], np.int32)
+    ids = np.full(max(numbers.max(initial=0), 0) + 2, BREAK, np.int64)  # the last cell is for breaks
     ids[local] = id_
-    return _state(own, ids[places], None)
+    return _state(own["chunk"], ids[numbers], None, 1)
 
 
-def pairs(words: np.ndarray, phrases: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of frequent phrases of ``length`` words with the next word, and the ids of both.
+def places(words: np.ndarray, phrases: np.ndarray, length: int) -> np.ndarray:
+    """Where a phrase of ``length`` words starts, and another one a word later, that may be frequent.
 
-    The phrase that starts one word later must be frequent, too.
+    Only there may the phrase of one word more be frequent.
     """
     last = max(len(words) - length, 0)
-    at = np.flatnonzero((phrases[:last] >= 0) & (phrases[1 : last + 1] >= 0) & (words[length:] >= 0))
-    return at, phrases[at], words[at + length]
+    return np.flatnonzero((phrases[:last] >= 0) & (phrases[1 : last + 1] >= 0))
+
 
+def longer(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words, phrases and places of a chunk, and the phrases of one word more there, a column per word."""
+    words, phrases = _unpacked(row)
+    at = places(words, phrases, length)
+    return words, phrases, at, [words[at + k] for k in range(length + 1)]
 
-def _sorted(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The order of pairs by both ids; of ids below 2**31 by one number."""
+
+def _sorted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs by both ids (of ids below 2**31 by one number), and which are new in it."""
     if max(first.max(initial=0), second.max(initial=0)) < 1 << 31:
-        return np.argsort((first << 32) | second, kind="stable")
-    return np.lexsort((second, first))
+        order = np.argsort((first << 32) | second)
+    else:
+        order = np.lexsort((second, first))
+    return order, (np.diff(first[order], prepend=-1) != 0) | (np.diff(second[order], prepend=-1) != 0)
 
 
-def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs, how often each occurs, and the number of each pair given."""
-    order = _sorted(first, second)
-    a, b = first[order], second[order]
-    new = (np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0)
-    start, number = np.flatnonzero(new), np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return a[start], b[start], np.diff(start, append=len(order)), number
+def distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct phrases and how often each occurs, or the sum of ``counts`` of each."""
+    first = columns[0]
+    for second in columns[1:-1]:  # the words so far become one number
+        order, new = _sorted(first, second)
+        first = np.empty(len(order), np.int64)
+        first[order] = np.cumsum(new) - 1
+    order, new = _sorted(first, columns[-1])
+    start = np.flatnonzero(new)
+    total = np.diff(start, append=len(order)) if counts is None else np.add.reduceat(counts[order], start)
+    return [ids[order[start]] for ids in columns], total
 
 
 def covered(words: np.ndarray, phrases: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,38 +280,21 @@ def covered(words: np.ndarray, phrases: np.ndarray, size: int) -> tuple[np.ndarr
     return np.where(inside, words, BREAK)[kept], phrases[kept]
 
 
-def _next_state(length: int) -> Callable:
+def _next_state(length: int, marks: Broadcast) -> Callable:
     """The state of a chunk with phrases one word longer."""
 
-    def build(rows: pa.Table) -> pa.Table:
-        own, local, id_ = _own(rows)
-        words, phrases = _unpacked(own)
-        at, first, second = pairs(words, phrases, length)
-        ids = np.full(len(at) + 1, BREAK, np.int64)
-        ids[local] = id_
-        phrases = np.full(len(words), BREAK, np.int64)
-        phrases[at] = ids[distinct(first, second)[3]]
-        return _state(own, *covered(words, phrases, length + 1))
-
-    return build
-
-
-def _pair_rows(length: int, marks: Broadcast) -> Callable:
-    """The distinct pairs of a chunk that may be frequent, each with its number there."""
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
-            _, first, second = pairs(*_unpacked(row), length)
-            first, second, *_ = distinct(first, second)
-            local = np.flatnonzero(passing(pair_hashes(first, second), marks.value))
-            columns = [np.full(len(local), row["chunk"]), local, first[local], second[local]]
-            yield from handed(["chunk", "local", "first", "second"], [pa.array(c) for c in columns])
+            words, phrases, at, columns = longer(row, length)
+            phrases = np.full(len(words), BREAK, np.int8)
+            phrases[at[passing(phrase_hashes(columns), marks.value)]] = 0
+            yield from _state(row["chunk"], *covered(words, phrases, length + 1), length + 1).to_batches()
 
     return build
 
 
-TILE = {"row": pa.int64(), "col": pa.int64(), "part": pa.int64(), "first": pa.binary(), "second": pa.binary(), "counts": pa.binary()}
-TILE_DDL = "row long, col long, part long, first binary, second binary, counts binary"
+TILE = {"row": pa.int64(), "col": pa.int64(), "part": pa.int64(), "cells": pa.list_(pa.binary()), "counts": pa.binary()}
+TILE_DDL = "row long, col long, part long, cells array<binary>, counts binary"
 
 
 def tile_of(first: np.ndarray, second: np.ndarray, side: int) -> np.ndarray:
@@ -315,37 +317,43 @@ def tiles(
         counts = np.bincount(first[own] % side * side + second[own] % side, minlength=side * side)
         cells = np.flatnonzero(counts)
         yield int(tile[own[0]]) >> 32, int(tile[own[0]]) & 0xFFFFFFFF, cells, counts[cells]
-    first, second, counts, _ = distinct(first[~direct], second[~direct])
-    yield from dealt(first, second, counts, strips)
+    columns, counts = distinct([first[~direct], second[~direct]])
+    yield from dealt(*columns, counts, strips)
 
 
-def _tile_sizes(length: int, side: int) -> Callable:
-    """Pairs of a chunk per tile."""
+def _tile_sizes(side: int, least: int) -> Callable:
+    """Pairs of a chunk on tiles with ``least`` of them: few rows, however many tiles the plane has."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
-            _, first, second = pairs(*_unpacked(row), length)
+            *_, (first, second) = longer(row, 1)
             tile, size = np.unique(tile_of(first, second, side), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(size)], names=["tile", "size"])
+            often = size >= least
+            yield pa.RecordBatch.from_arrays([pa.array(tile[often]), pa.array(size[often])], names=["tile", "size"])
 
     return build
 
 
-def dealt(first: np.ndarray, second: np.ndarray, counts: np.ndarray, strips: int) -> Iterator[tuple]:
-    """Sorted pairs by strip. The strip in one of more strips says that in fewer."""
-    strip = (pair_hashes(first, second) % np.uint64(strips)).astype(np.int64)
+def dealt(*table: np.ndarray | int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Sorted phrases (a column per word, counts, strips) by strip. The strip in one of more strips says that in fewer.
+
+    Phrases that differ in the last word alone share a strip if its ids are ``NEAR``, since neighbours in
+    order take fewer bytes; a word that stands before very many is spread over strips.
+    """
+    *columns, counts, strips = table
+    strip = (phrase_hashes([*columns[:-1], columns[-1] // NEAR]) % np.uint64(strips)).astype(np.int64)
     order = np.argsort(strip, kind="stable")
     cuts = np.flatnonzero(np.diff(strip[order], prepend=-1))
     for own in np.split(order, cuts[1:]):
         if len(own):
-            yield int(strip[own[0]]), -1, np.stack([first[own], second[own]]), counts[own]
+            yield int(strip[own[0]]), -1, np.stack([ids[own] for ids in columns]), counts[own]
 
 
 def _table(part: int, made: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.Table:
     rows = []
     for row, column, cells, counts in made:
-        first, second = (cells, cells[:0]) if column >= 0 else cells
-        rows.append((row, column, part, pack_sorted(first), pack(second), pack(counts)))
+        first, *rest = [cells] if column >= 0 else cells
+        rows.append((row, column, part, [pack_sorted(first), *map(pack, rest)], pack(counts)))
     columns = zip(*rows, strict=True) if rows else [[]] * len(TILE)
     return pa.table([pa.array(c, k) for c, k in zip(columns, TILE.values(), strict=True)], names=list(TILE))
 
@@ -353,66 +361,72 @@ def _table(part: int, made: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -
 def _count(length: int, dense: np.ndarray, strips: int, side: int) -> Callable:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each(batches):
-            _, first, second = pairs(*_unpacked(row), length)
-            yield from _table(row["part"], tiles(first, second, dense, strips, side)).to_batches()
+            *_, columns = longer(row, length)
+            if length == 1:
+                made = tiles(*columns, dense, strips, side)
+            else:
+                columns, counts = distinct(columns)
+                made = dealt(*columns, counts, strips)
+            yield from _table(row["part"], made).to_batches()
 
     return build
 
 
-def summed(rows: pa.Table, side: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """The sum of some tables of one tile or strip: column, pairs of ids and counts."""
+def summed(rows: pa.Table, side: int) -> tuple[int, list[np.ndarray], np.ndarray]:
+    """The sum of some tables of one tile or strip: column, phrases (a column of ids per word) and counts."""
     row, column = rows["row"][0].as_py(), rows["col"][0].as_py()
-    first = [unpack_sorted(x.as_py(), np.int64) for x in rows["first"]]
-    counts = [unpack(x.as_py(), np.int64) for x in rows["counts"]]
     if column >= 0:
         total = np.zeros(side * side, np.int64)
-        for cells, n in zip(first, counts, strict=True):
-            total[cells] += n
+        for cells, counts in zip(rows["cells"], rows["counts"], strict=True):
+            total[unpack_sorted(cells[0].as_py(), np.int64)] += unpack(counts.as_py(), np.int64)
         cells = np.flatnonzero(total)
-        return column, cells // side + row * side, cells % side + column * side, total[cells]
-    first, counts = np.concatenate(first), np.concatenate(counts)
-    second = np.concatenate([unpack(x.as_py(), np.int64) for x in rows["second"]])
-    order = _sorted(first, second)
-    first, second, counts = first[order], second[order], counts[order]
-    start = np.flatnonzero((np.diff(first, prepend=-1) != 0) | (np.diff(second, prepend=-1) != 0))
-    return column, first[start], second[start], np.add.reduceat(counts, start)
+        return column, [cells // side + row * side, cells % side + column * side], total[cells]
+    parts = [[unpack_sorted(first, np.int64), *(unpack(ids, np.int64) for ids in rest)] for first, *rest in rows["cells"].to_pylist()]
+    counts = np.concatenate([unpack(x.as_py(), np.int64) for x in rows["counts"]])
+    return column, *distinct([np.concatenate(ids) for ids in zip(*parts, strict=True)], counts)
 
 
 def _add(strips: int, merged: int, side: int) -> Callable:
     """Up to ``merged`` parts become one; a strip is dealt to ``strips`` of the next round."""
 
     def add(rows: pa.Table) -> pa.Table:
-        column, first, second, counts = summed(rows, side)
+        column, ids, counts = summed(rows, side)
         part = rows["part"][0].as_py() // merged
         if column < 0:
-            return _table(part, dealt(first, second, counts, strips))
-        cells = first % side * side + second % side
+            return _table(part, dealt(*ids, counts, strips))
+        cells = ids[0] % side * side + ids[1] % side
         return _table(part, [(rows["row"][0].as_py(), column, cells, counts)])
 
     return add
 
 
 def _rows(side: int, least: int) -> Callable:
-    """The pairs of whole tiles and strips that occur often."""
+    """The phrases of whole tiles and strips that occur often."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                _, *pair, counts = summed(pa.Table.from_batches([batch.slice(k, 1)]), side)
-                yield from handed(["first", "second", "n"], [pa.array(x[counts >= least]) for x in (*pair, counts)])
+                _, ids, counts = summed(pa.Table.from_batches([batch.slice(k, 1)]), side)
+                kept = np.stack(ids, axis=1)[counts >= least]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * len(ids), pa.int32()), pa.array(kept.reshape(-1)))
+                yield from handed(["ids", "n"], [lists, pa.array(counts[counts >= least])])
 
     return build
 
 
-def frequent_pairs(state: DataFrame, length: int, least: int) -> DataFrame:
-    """(first, second, n): pairs of a phrase of ``length`` words and the next word that occur often."""
-    sizes = state.mapInArrow(_tile_sizes(length, SIDE), "tile long, size long").groupBy("tile").agg(F.sum("size").alias("size"))
-    sizes = write_shared(sizes, "tile-sizes")
-    parts = state.count()
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+def _dense(state: DataFrame, parts: int) -> np.ndarray:
+    """Tiles that the mean chunk has ``DENSE`` pairs on. Chunks with few pairs on a tile are left out of
+    the decision, which changes how pairs are counted and not which."""
+    sizes = state.mapInArrow(_tile_sizes(SIDE, DENSE // 4), "tile long, size long").groupBy("tile").agg(F.sum("size").alias("size"))
     # Bounded: no more tiles than the mean chunk holds times DENSE.
-    dense = np.array(sorted(row.tile for row in sizes.where(F.col("size") >= DENSE * parts).collect()), np.int64)
-    most = 1 << (total // STRIP_PAIRS).bit_length()  # strips of the whole table
+    return np.array(sorted(row.tile for row in sizes.where(F.col("size") >= DENSE * parts).collect()), np.int64)
+
+
+def frequent(state: DataFrame, length: int, least: int) -> DataFrame:
+    """(ids, n): the words of phrases one word longer than ``length`` that occur often."""
+    parts, total = state.agg(F.count("*"), F.sum("places")).first()
+    dense = _dense(state, parts) if length == 1 else np.zeros(0, np.int64)
+    most = 1 << ((total or 0) // STRIP_PAIRS).bit_length()  # strips of the whole table
     strips = min(MERGED, most)
     part = F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part")
     tables = state.select("words", "phrases", part).mapInArrow(_count(length, dense, strips, SIDE), TILE_DDL)
@@ -421,7 +435,12 @@ def frequent_pairs(state: DataFrame, length: int, least: int) -> DataFrame:
         group = F.floor(F.col("part") / MERGED).alias("group")
         tables = tables.groupBy("row", "col", group).applyInArrow(_add(strips, MERGED, SIDE), TILE_DDL)
         parts = -(-parts // MERGED)
-    return tables.mapInArrow(_rows(SIDE, least), "first long, second long, n long")
+    return tables.mapInArrow(_rows(SIDE, least), "ids array<long>, n long")
+
+
+def _list_hashes(lists: pa.ListArray) -> np.ndarray:
+    ids = lists.flatten().to_numpy()
+    return phrase_hashes(list(ids.reshape(len(lists), -1).T))
 
 
 def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
@@ -441,7 +460,8 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
     counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     known = ranked(counts, ["lang", "word"], "words-ranked")
     first = known.select("id", "lang", F.col("word").alias("phrase"), "n")
-    found, level, length = [first.withColumn("size", F.lit(1))], first, 1
+    found = [first.withColumn("size", F.lit(1)).drop("id")]
+    level, length = first.withColumn("ids", F.array("id")), 1
     marks = sieve(known.select("lang", "word"), lambda lang, word: word_hashes(lang.to_pylist(), word.to_pylist()))
     held = chunks.select("chunk", "lang", "words").mapInArrow(
         _word_rows(marks), "chunk long, lang string, local long, word string"
@@ -451,21 +471,21 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
     state = together([own, answers]).groupBy("chunk").applyInArrow(_first_state, STATE)
     while True:
         state = write_shared(state, "phrase-state")
-        known = ranked(frequent_pairs(state, length, least), ["first", "second"], "pairs-ranked")
+        known = write_shared(frequent(state, length, least), "phrases-frequent")
+        left = level.select(F.col("ids").alias("head"), "lang", F.col("phrase").alias("left"))
+        right = first.select(F.col("id").alias("tail"), F.col("phrase").alias("right"))
         level = write_shared(
-            known.join(level.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("left")), "first")
-            .join(first.select(F.col("id").alias("second"), F.col("phrase").alias("right")), "second")
-            .select("id", "lang", F.concat_ws(" ", "left", "right").alias("phrase"), "n"),
+            known.join(left, F.slice("ids", 1, length) == F.col("head"))
+            .join(right, F.element_at("ids", -1) == F.col("tail"))
+            .select("ids", "lang", F.concat_ws(" ", "left", "right").alias("phrase"), "n"),
             "phrases",
         )
         length += 1
-        found.append(level.withColumn("size", F.lit(length)))
+        found.append(level.withColumn("size", F.lit(length)).drop("ids"))
         if length == longest or level.isEmpty():
-            return reduce(DataFrame.union, found).drop("id"), totals
-        marks = sieve(known.select("first", "second"), lambda a, b: pair_hashes(a.to_numpy(), b.to_numpy()))
-        held = state.mapInArrow(_pair_rows(length - 1, marks), "chunk long, local long, first long, second long")
-        answers = held.join(known.drop("n"), ["first", "second"]).select("chunk", "local", "id")
-        state = together([state, answers]).groupBy("chunk").applyInArrow(_next_state(length - 1), STATE)
+            return reduce(DataFrame.union, found), totals
+        marks = sieve(known.select("ids"), _list_hashes)
+        state = state.mapInArrow(_next_state(length - 1, marks), STATE)
 
 
 def _words(phrase: str, first: Column, size: Column) -> Column:

@@ -6,11 +6,13 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 from starward.llm import phrases
+from starward.llm.packing import pack, together
 from starward.llm.phrases import collocations
 from starward.sources.shared import shared_folder
 
@@ -118,6 +120,48 @@ def test_words_outside_frequent_phrases_become_one_break():
     assert [x.tolist() for x in phrases.covered(words, np.full(10, -1), 2)] == [[], []]
 
 
+def test_tile_sizes_follow_the_pairs_and_not_the_plane():
+    """Frequent words spread over a large plane make no row per tile."""
+    words = np.random.default_rng(1).integers(0, 1 << 20, 20000)
+    words[::50] = 7
+    words[1::50] = 8
+    row = pa.RecordBatch.from_pylist([{"chunk": 1, "words": pack(words), "phrases": b""}])
+    made = [pair for batch in phrases._tile_sizes(1024, 100)(iter([row])) for pair in zip(*batch.to_pydict().values(), strict=True)]
+    assert len(made) == 1 and made[0][0] == 0 and made[0][1] >= 400
+
+
+def test_places_move_once(texts, monkeypatch):
+    """Only ids of words come back to the chunks; phrases are marked where their chunk is."""
+    moved = []
+    monkeypatch.setattr(phrases, "together", lambda frames: moved.append(1) or together(frames))
+    rows = [("so it is and so it goes on", "en")] * 4
+    assert found(texts(rows), 2) == brute_force(rows, 2)
+    assert len(moved) == 1
+
+
+def test_a_full_sieve_changes_nothing(spark, texts, monkeypatch):
+    """What passes in error, here everything, is counted and dropped."""
+    marks = spark.sparkContext.broadcast(np.full(phrases.SIEVE // 8, 255, np.uint8))
+    monkeypatch.setattr(phrases, "sieve", lambda *of: marks)
+    pick = random.Random(4)
+    rows = [(" ".join(pick.choice("aabcde.") for _ in range(60)), pick.choice(["en", "de"])) for _ in range(40)]
+    assert found(texts(rows), 9) == brute_force(rows, 9)
+
+
+def test_longer_phrases_are_counted_word_by_word():
+    """Ids beyond 31 bits, too; sums are those of equal phrases."""
+    pick = np.random.default_rng(2)
+    columns = [pick.choice([0, 5, 1 << 31, (1 << 40) + 5], 3000) for _ in range(5)]
+    counts = pick.integers(1, 9, 3000)
+    expected = Counter()
+    for *phrase, n in zip(*columns, counts, strict=True):
+        expected[tuple(map(int, phrase))] += int(n)
+    ids, total = phrases.distinct(columns, counts)
+    assert list(zip(zip(*map(np.ndarray.tolist, ids), strict=True), total.tolist(), strict=True)) == sorted(expected.items())
+    single = phrases.distinct(columns)[1]
+    assert single.sum() == 3000 and len(single) == len(expected)
+
+
 def test_only_the_result_stays(spark, texts):
     from starward.sources.shared import write_result
 
