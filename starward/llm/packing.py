@@ -67,6 +67,11 @@ def buckets_for(spark: SparkSession, amount: int | None, per_bucket: int) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(amount or 0) // per_bucket))
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def lean(work: Callable) -> Callable:
     """``work`` over Arrow batches, giving back what the allocators keep when a task ends.
 
@@ -77,8 +82,19 @@ def lean(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            pa.system_memory_pool().release_unused()
+            give_back()
+
+    return run
+
+
+def lean_group(work: Callable) -> Callable:
+    """``work`` over the rows of a group, giving back what the allocators keep after each."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        try:
+            return work(rows)
+        finally:
+            give_back()
 
     return run
 

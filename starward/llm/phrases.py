@@ -32,15 +32,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starward.llm.packing import chunk_number, pack, pack_sorted, together, unpack, unpack_sorted
+from starward.llm.packing import chunk_number, lean, lean_group, pack, pack_sorted, together, unpack, unpack_sorted
 from starward.llm.word_hashes import Numbers, mix
 from starward.operators.ordering import global_row_number
 from starward.sources.shared import write_shared
 
 #: Fewest occurrences of a phrase, most words in it, phrases reported per language.
 LEAST, LONGEST, REPORTED = 100, 5, 2000
-#: Bytes of text in a chunk, ids on the side of a tile, tables added up at once and strips of one table.
-CHUNK_BYTES, SIDE, MERGED = 16 << 20, 1024, 256
+#: Bytes of words a task holds before it makes chunks, ids on the side of a tile, tables added up at once and strips of one table.
+CHUNK_BYTES, SIDE, MERGED = 8 << 20, 1024, 256
 #: Pairs of a chunk on a tile from which on direct address takes less than sorting.
 DENSE = SIDE * SIDE // 64
 #: Phrases in a strip of the whole table, and ids of last words that keep phrases of the same other words together.
@@ -67,17 +67,23 @@ def pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
 
 
 def _chunks(size: int) -> Callable:
-    """Arrow batches of (lang, text) to a row per chunk and language: words, counts, places."""
+    """Arrow batches of (lang, text) to rows of chunks, each of one language: words, counts, places.
+
+    At ``size`` bytes of words, the languages that hold most become chunks; others wait, so that there
+    are few small chunks. Every chunk repeats the frequent words of its language.
+    """
     names = ["chunk", "lang", "n_words", "words", "counts", "places"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
-        held = made = 0
+        held: dict[str, int] = {}
+        made = total = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(full: list[str]) -> pa.RecordBatch:
             rows = []
-            for lang, (numbers, places) in languages.items():
+            for lang in full:
+                numbers, places = languages.pop(lang)
                 flat = np.concatenate(places)
                 counts = np.bincount(flat[flat >= 0], minlength=len(numbers) - 1)
                 words = [word.decode() for word in numbers][1:]
@@ -89,16 +95,21 @@ def _chunks(size: int) -> Callable:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for found in pieces((text.as_py() or "").encode(), size):
                     if lang not in languages:
-                        languages[lang] = Numbers({b".": 0}), []
+                        languages[lang], held[lang] = (Numbers({b".": 0}), []), 0
                     numbers, places = languages[lang]
                     own = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
                     places += [own - 1, np.array([BREAK], np.int32)]
-                    held += sum(map(len, found))
-                    if held >= size:
-                        yield flush()
-                        languages, held, made = {}, 0, made + len(languages)
+                    more = sum(map(len, found))
+                    held[lang] += more
+                    total += more
+                    if total >= size:
+                        half = max(held.values()) / 2
+                        full = [lang for lang, n in held.items() if n >= half]
+                        yield flush(full)
+                        made += len(full)
+                        total -= sum(map(held.pop, full))
         if languages:
-            yield flush()
+            yield flush(list(languages))
 
     return build
 
@@ -417,7 +428,7 @@ def _rows(side: int, least: int) -> Callable:
 def _dense(state: DataFrame, parts: int) -> np.ndarray:
     """Tiles that the mean chunk has ``DENSE`` pairs on. Chunks with few pairs on a tile are left out of
     the decision, which changes how pairs are counted and not which."""
-    sizes = state.mapInArrow(_tile_sizes(SIDE, DENSE // 4), "tile long, size long").groupBy("tile").agg(F.sum("size").alias("size"))
+    sizes = state.mapInArrow(lean(_tile_sizes(SIDE, DENSE // 4)), "tile long, size long").groupBy("tile").agg(F.sum("size").alias("size"))
     # Bounded: no more tiles than the mean chunk holds times DENSE.
     return np.array(sorted(row.tile for row in sizes.where(F.col("size") >= DENSE * parts).collect()), np.int64)
 
@@ -429,13 +440,13 @@ def frequent(state: DataFrame, length: int, least: int) -> DataFrame:
     most = 1 << ((total or 0) // STRIP_PAIRS).bit_length()  # strips of the whole table
     strips = min(MERGED, most)
     part = F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part")
-    tables = state.select("words", "phrases", part).mapInArrow(_count(length, dense, strips, SIDE), TILE_DDL)
+    tables = state.select("words", "phrases", part).mapInArrow(lean(_count(length, dense, strips, SIDE)), TILE_DDL)
     while parts > 1:
         strips = min(strips * MERGED, most)
         group = F.floor(F.col("part") / MERGED).alias("group")
-        tables = tables.groupBy("row", "col", group).applyInArrow(_add(strips, MERGED, SIDE), TILE_DDL)
+        tables = tables.groupBy("row", "col", group).applyInArrow(lean_group(_add(strips, MERGED, SIDE)), TILE_DDL)
         parts = -(-parts // MERGED)
-    return tables.mapInArrow(_rows(SIDE, least), "ids array<long>, n long")
+    return tables.mapInArrow(lean(_rows(SIDE, least)), "ids array<long>, n long")
 
 
 def _list_hashes(lists: pa.ListArray) -> np.ndarray:
@@ -450,13 +461,13 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
     )
     chunks = write_shared(
         rows.mapInArrow(
-            _chunks(CHUNK_BYTES),
+            lean(_chunks(CHUNK_BYTES)),
             "chunk long, lang string, n_words long, words array<string>, counts binary, places binary",
         ),
         "phrase-chunks",
     )
     totals = chunks.groupBy("lang").agg(F.sum("n_words").alias("total"))
-    words = chunks.select("lang", "words", "counts").mapInArrow(_word_counts, "lang string, word string, n long")
+    words = chunks.select("lang", "words", "counts").mapInArrow(lean(_word_counts), "lang string, word string, n long")
     counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     known = ranked(counts, ["lang", "word"], "words-ranked")
     first = known.select("id", "lang", F.col("word").alias("phrase"), "n")
@@ -464,11 +475,11 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
     level, length = first.withColumn("ids", F.array("id")), 1
     marks = sieve(known.select("lang", "word"), lambda lang, word: word_hashes(lang.to_pylist(), word.to_pylist()))
     held = chunks.select("chunk", "lang", "words").mapInArrow(
-        _word_rows(marks), "chunk long, lang string, local long, word string"
+        lean(_word_rows(marks)), "chunk long, lang string, local long, word string"
     )
     answers = held.join(known.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
     own = chunks.select("chunk", F.col("places").alias("words"))
-    state = together([own, answers]).groupBy("chunk").applyInArrow(_first_state, STATE)
+    state = together([own, answers]).groupBy("chunk").applyInArrow(lean_group(_first_state), STATE)
     while True:
         state = write_shared(state, "phrase-state")
         known = write_shared(frequent(state, length, least), "phrases-frequent")
@@ -485,7 +496,7 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
         if length == longest or level.isEmpty():
             return reduce(DataFrame.union, found), totals
         marks = sieve(known.select("ids"), _list_hashes)
-        state = state.mapInArrow(_next_state(length - 1, marks), STATE)
+        state = state.mapInArrow(lean(_next_state(length - 1, marks)), STATE)
 
 
 def _words(phrase: str, first: Column, size: Column) -> Column:
