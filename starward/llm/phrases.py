@@ -39,7 +39,7 @@ from starward.sources.shared import write_shared
 
 #: Fewest occurrences of a phrase, most words in it, phrases reported per language.
 LEAST, LONGEST, REPORTED = 100, 5, 2000
-#: Bytes of words a task holds before it makes chunks, ids on the side of a tile, tables added up at once and strips of one table.
+#: Bytes of words a task holds before it hands over places, ids on the side of a tile, tables added up at once and strips of one table.
 CHUNK_BYTES, SIDE, MERGED = 8 << 20, 1024, 256
 #: Pairs of a chunk on a tile from which on direct address takes less than sorting.
 DENSE = SIDE * SIDE // 64
@@ -50,6 +50,8 @@ NO_LANGUAGE = "und"
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"." * len(BREAKS) + b" " + bytes(range(97, 123)))
 BREAK = -1
+#: Distinct words, and times that places are handed over, after which chunks end.
+CHUNK_WORDS, CHUNK_PARTS = 1 << 19, 8
 #: Rows handed over at once.
 ROWS = 1 << 16
 #: Bits of a sieve of frequent words or phrases (8 MB), and of what is sent of it at once.
@@ -67,49 +69,57 @@ def pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
 
 
 def _chunks(size: int) -> Callable:
-    """Arrow batches of (lang, text) to rows of chunks, each of one language: words, counts, places.
+    """Arrow batches of (lang, text) to chunks, each of one language: rows with places, then one with words and counts.
 
-    At ``size`` bytes of words, the languages that hold most become chunks; others wait, so that there
-    are few small chunks. Every chunk repeats the frequent words of its language.
+    Places are handed over at ``size`` bytes of words; the numbers of words go on, so that the frequent
+    words of a language come once per chunk and not once per part of it.
     """
     names = ["chunk", "lang", "n_words", "words", "counts", "places"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary()]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
-        held: dict[str, int] = {}
-        made = total = 0
-
-        def flush(full: list[str]) -> pa.RecordBatch:
-            rows = []
-            for lang in full:
-                numbers, places = languages.pop(lang)
-                flat = np.concatenate(places)
-                counts = np.bincount(flat[flat >= 0], minlength=len(numbers) - 1)
-                words = [word.decode() for word in numbers][1:]
-                rows.append((chunk_number(made + len(rows)), lang, int(counts.sum()), words, pack(counts), pack(flat)))
-            columns = zip(*rows, strict=True)
+        counts: dict[str, np.ndarray] = {}
+        held = parts = made = 0
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*found, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+        def hand_over() -> Iterator[pa.RecordBatch]:
+            for k, (lang, (numbers, places)) in enumerate(languages.items()):
+                if places:
+                    flat = np.concatenate(places)
+                    places.clear()
+                    own = np.bincount(flat[flat >= 0], minlength=len(numbers) - 1)
+                    own[: len(counts[lang])] += counts[lang]
+                    counts[lang] = own
+                    yield rows([(chunk_number(made + k), lang, None, None, None, pack(flat))])
+
+        def end() -> Iterator[pa.RecordBatch]:
+            for k, (lang, (numbers, _)) in enumerate(languages.items()):
+                words = [word.decode() for word in numbers][1:]
+                yield rows([(chunk_number(made + k), lang, int(counts[lang].sum()), words, pack(counts[lang]), None)])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for found in pieces((text.as_py() or "").encode(), size):
                     if lang not in languages:
-                        languages[lang], held[lang] = (Numbers({b".": 0}), []), 0
+                        languages[lang], counts[lang] = (Numbers({b".": 0}), []), np.zeros(0, np.int64)
                     numbers, places = languages[lang]
                     own = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
                     places += [own - 1, np.array([BREAK], np.int32)]
-                    more = sum(map(len, found))
-                    held[lang] += more
-                    total += more
-                    if total >= size:
-                        half = max(held.values()) / 2
-                        full = [lang for lang, n in held.items() if n >= half]
-                        yield flush(full)
-                        made += len(full)
-                        total -= sum(map(held.pop, full))
-        if languages:
-            yield flush(list(languages))
+                    held += sum(map(len, found))
+                    if held >= size:
+                        yield from hand_over()
+                        held, parts = 0, parts + 1
+                        if parts == CHUNK_PARTS or sum(len(n) for n, _ in languages.values()) >= CHUNK_WORDS:
+                            yield from end()
+                            made, parts = made + len(languages), 0
+                            languages.clear()
+                            counts.clear()
+        yield from hand_over()
+        yield from end()
 
     return build
 
@@ -206,13 +216,6 @@ def ranked(counts: DataFrame, names: list[str], label: str) -> DataFrame:
     return write_shared(numbered.drop("_less").withColumn("id", F.col("id") - 1), label)
 
 
-def _own(rows: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
-    """The row of the chunk itself; local numbers that have an id, and the ids."""
-    known = rows.filter(rows["local"].is_valid())
-    own = rows.filter(rows["words"].is_valid()).to_pylist()[0]
-    return own, known["local"].to_numpy(), known["id"].to_numpy()
-
-
 STATE = "chunk long, words binary, phrases binary, places long"
 
 
@@ -230,12 +233,16 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_state(rows: pa.Table) -> pa.Table:
-    """A chunk of one language with ids for numbers; rare words are breaks."""
-    own, local, id_ = _own(rows)
-    numbers = unpack(own["words"], np.int32)
-    ids = np.full(max(numbers.max(initial=0), 0) + 2, BREAK, np.int64)  # the last cell is for breaks
-    ids[local] = id_
-    return _state(own["chunk"], ids[numbers], None, 1)
+    """The parts of a chunk with ids for numbers; rare words are breaks."""
+    known = rows.filter(rows["local"].is_valid())
+    local = known["local"].to_numpy()
+    ids = np.full(local.max(initial=0) + 2, BREAK, np.int64)  # the last cell is for breaks
+    ids[local] = known["id"].to_numpy()
+    made = []
+    for part in rows.filter(rows["words"].is_valid())["words"]:
+        numbers = unpack(part.as_py(), np.int32)
+        made.append(_state(rows["chunk"][0].as_py(), ids[np.where(numbers < len(ids), numbers, BREAK)], None, 1))
+    return pa.concat_tables(made)
 
 
 def places(words: np.ndarray, phrases: np.ndarray, length: int) -> np.ndarray:
@@ -466,6 +473,7 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
         ),
         "phrase-chunks",
     )
+    chunks, own = chunks.where("words IS NOT NULL"), chunks.where("places IS NOT NULL")
     totals = chunks.groupBy("lang").agg(F.sum("n_words").alias("total"))
     words = chunks.select("lang", "words", "counts").mapInArrow(lean(_word_counts), "lang string, word string, n long")
     counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -478,7 +486,7 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
         lean(_word_rows(marks)), "chunk long, lang string, local long, word string"
     )
     answers = held.join(known.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
-    own = chunks.select("chunk", F.col("places").alias("words"))
+    own = own.select("chunk", F.col("places").alias("words"))
     state = together([own, answers]).groupBy("chunk").applyInArrow(lean_group(_first_state), STATE)
     while True:
         state = write_shared(state, "phrase-state")

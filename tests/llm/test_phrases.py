@@ -162,17 +162,16 @@ def test_longer_phrases_are_counted_word_by_word():
     assert single.sum() == 3000 and len(single) == len(expected)
 
 
-def test_small_languages_wait_for_large_ones(texts):
-    """A language with few words makes no chunk each time that a large one is full."""
-    rows = [("many words of one language here", "en")] * 300 + [("few", "de"), ("some", None)] * 3
+def test_words_come_once_per_chunk(texts):
+    """However often places are handed over, the words of a language are not repeated."""
+    rows = [("many words of one language here", "en")] * 100 + [("few", "de"), ("some", None)] * 3
     made = texts(rows, 1).coalesce(1).select("lang", "text").mapInArrow(
-        phrases._chunks(1000), "chunk long, lang string, n_words long, words array<string>, counts binary, places binary"
+        phrases._chunks(500), "chunk long, lang string, n_words long, words array<string>, counts binary, places binary"
     )
     made = made.collect()
-    chunks = Counter(row.lang for row in made)
-    assert chunks["de"] == chunks[None] == 1 and chunks["en"] >= 7
-    assert len({row.chunk for row in made}) == len(made)
-    assert sum(row.n_words for row in made) == 300 * 6 + 6
+    assert Counter(row.lang for row in made if row.words) == {"en": 1, "de": 1, None: 1}
+    assert sum(row.places is not None for row in made if row.lang == "en") >= 5
+    assert sum(row.n_words or 0 for row in made) == 100 * 6 + 6
 
 
 def test_only_the_result_stays(spark, texts):
