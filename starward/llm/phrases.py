@@ -14,19 +14,24 @@ the whole corpus, and each occurrence is rewritten to its id. Then, level by lev
    the next level. What the bit set, of fixed size, lets through in error is counted in vain and dropped
    with all else below the minimum: counts are of whole phrases, word by word.
 
-The ids of words come back to the chunks by a join on what each chunk holds once, so no key is hot. That
+The ids of the most frequent words, a bounded number, go to all tasks, since nearly every chunk has them.
+Those of the others come back to the chunks by a join on what each chunk holds once, so no key is hot. That
 is the only time that places move; phrases are marked where the chunk is. Counts of all frequent
 phrases, their scores and the rule against parts of longer phrases are joins and aggregations of
 tables without places.
+
+No stage calls Python twice: each call takes a worker, which stays beside the executor's heap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +59,8 @@ BREAK = -1
 CHUNK_WORDS, CHUNK_PARTS = 1 << 19, 8
 #: Rows handed over at once.
 ROWS = 1 << 16
+#: Most frequent words whose ids go to all tasks, and bytes of the longest such word or language (16 MB in all, 2 MB if words are short).
+HEAD, HEAD_BYTES = 1 << 17, 64
 #: Bits of a sieve of frequent words or phrases (8 MB), and of what is sent of it at once.
 SIEVE, SIEVE_BLOCK = 1 << 26, 1 << 16
 
@@ -137,12 +144,18 @@ def handed(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatch
         yield whole.slice(k, ROWS)
 
 
+def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, str, pa.Array]]:
+    """Rows one by one, each with its language and its words, which stay in Arrow."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1), batch["lang"][k].as_py(), batch["words"][k].values
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per distinct word of a chunk."""
-    for row in each(batches):
-        lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(row["words"]), np.int32)), pa.array([row["lang"]]))
-        columns = [lang.cast(pa.string()), pa.array(row["words"], pa.string()), pa.array(unpack(row["counts"], np.int64))]
-        yield from handed(["lang", "word", "n"], columns)
+    for row, lang, words in word_lists(batches):
+        counts = pa.array(unpack(row["counts"][0].as_py(), np.int64))
+        yield from handed(["lang", "word", "n"], [pa.repeat(lang, len(words)), words, counts])
 
 
 def word_hashes(languages: list[str], words: list[str]) -> np.ndarray:
@@ -195,16 +208,46 @@ def passing(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (marks[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
 
-def _word_rows(marks: Broadcast) -> Callable:
-    """The words of a chunk that may be frequent, each with its number there."""
+def head(known: DataFrame) -> tuple[Broadcast, DataFrame]:
+    """The most frequent words by language with their ids, for all tasks, and the ``known`` words left."""
+    inside = (F.col("id") < HEAD) & (F.octet_length("lang") <= HEAD_BYTES) & (F.octet_length("word") <= HEAD_BYTES)
+    rows = known.where(inside).select("lang", "word", "id").toArrow().sort_by("lang")  # bounded: HEAD rows
+    langs = rows["lang"].to_pylist()
+    starts = [k for k in range(len(langs)) if not k or langs[k] != langs[k - 1]]
+    spans = {langs[a]: (a, b) for a, b in pairwise([*starts, len(langs)])}
+    ids = rows["id"].to_numpy().astype(np.int32)
+    return known.sparkSession.sparkContext.broadcast((spans, rows["word"].combine_chunks(), ids)), known.where(~inside)
+
+
+def head_ids(lang: str, words: pa.Array, most: Broadcast) -> np.ndarray:
+    """The id of every word, ``BREAK`` if it is not among the most frequent."""
+    spans, every, ids = most.value
+    begin, end = spans.get(lang, (0, 0))
+    at = pc.index_in(words, value_set=every[begin:end]).fill_null(-1).to_numpy()
+    return np.append(ids[begin:end], np.int32(BREAK))[at]
+
+
+def _head_rows(most: Broadcast) -> Callable:
+    """The ids of a chunk's words in one row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each(batches):
-            words = row["words"]
-            local = np.flatnonzero(passing(word_hashes([row["lang"]] * len(words), words), marks.value))
-            lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(local), np.int32)), pa.array([row["lang"]]))
-            columns = [pa.array(np.full(len(local), row["chunk"])), lang.cast(pa.string()), pa.array(local)]
-            columns.append(pa.array([words[k] for k in local.tolist()], pa.string()))
+        for row, lang, words in word_lists(batches):
+            ids = pa.array([pack(head_ids(lang, words, most))], pa.binary())
+            yield pa.RecordBatch.from_arrays([row["chunk"], ids], names=["chunk", "ids"])
+
+    return build
+
+
+def _word_rows(most: Broadcast, marks: Broadcast) -> Callable:
+    """The other words of a chunk that may be frequent, each with its number there."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, lang, words in word_lists(batches):
+            local = np.flatnonzero(head_ids(lang, words, most) == BREAK)
+            words = words.take(pa.array(local))
+            may = passing(word_hashes([lang] * len(words), words.to_pylist()), marks.value)
+            local, words = local[may], words.filter(pa.array(may))
+            columns = [pa.repeat(row["chunk"][0], len(local)), pa.repeat(lang, len(local)), pa.array(local), words]
             yield from handed(["chunk", "lang", "local", "word"], columns)
 
     return build
@@ -235,13 +278,12 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
 def _first_state(rows: pa.Table) -> pa.Table:
     """The parts of a chunk with ids for numbers; rare words are breaks."""
     known = rows.filter(rows["local"].is_valid())
-    local = known["local"].to_numpy()
-    ids = np.full(local.max(initial=0) + 2, BREAK, np.int64)  # the last cell is for breaks
-    ids[local] = known["id"].to_numpy()
+    most = rows.filter(rows["ids"].is_valid())["ids"][0].as_py()
+    ids = np.append(unpack(most, np.int32), BREAK).astype(np.int64)  # the last cell is for breaks
+    ids[known["local"].to_numpy()] = known["id"].to_numpy()
     made = []
     for part in rows.filter(rows["words"].is_valid())["words"]:
-        numbers = unpack(part.as_py(), np.int32)
-        made.append(_state(rows["chunk"][0].as_py(), ids[np.where(numbers < len(ids), numbers, BREAK)], None, 1))
+        made.append(_state(rows["chunk"][0].as_py(), ids[unpack(part.as_py(), np.int32)], None, 1))
     return pa.concat_tables(made)
 
 
@@ -418,18 +460,16 @@ def _add(strips: int, merged: int, side: int) -> Callable:
     return add
 
 
-def _rows(side: int, least: int) -> Callable:
-    """The phrases of whole tiles and strips that occur often."""
+def _often(side: int, least: int) -> Callable:
+    """The last parts of a tile or strip to the phrases that occur often."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                _, ids, counts = summed(pa.Table.from_batches([batch.slice(k, 1)]), side)
-                kept = np.stack(ids, axis=1)[counts >= least]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * len(ids), pa.int32()), pa.array(kept.reshape(-1)))
-                yield from handed(["ids", "n"], [lists, pa.array(counts[counts >= least])])
+    def add(rows: pa.Table) -> pa.Table:
+        _, ids, counts = summed(rows, side)
+        kept = np.stack(ids, axis=1)[counts >= least]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * len(ids), pa.int32()), pa.array(kept.reshape(-1)))
+        return pa.table([lists, pa.array(counts[counts >= least])], names=["ids", "n"])
 
-    return build
+    return add
 
 
 def _dense(state: DataFrame, parts: int) -> np.ndarray:
@@ -448,12 +488,12 @@ def frequent(state: DataFrame, length: int, least: int) -> DataFrame:
     strips = min(MERGED, most)
     part = F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part")
     tables = state.select("words", "phrases", part).mapInArrow(lean(_count(length, dense, strips, SIDE)), TILE_DDL)
-    while parts > 1:
+    while parts > MERGED:
         strips = min(strips * MERGED, most)
         group = F.floor(F.col("part") / MERGED).alias("group")
         tables = tables.groupBy("row", "col", group).applyInArrow(lean_group(_add(strips, MERGED, SIDE)), TILE_DDL)
         parts = -(-parts // MERGED)
-    return tables.mapInArrow(lean(_rows(SIDE, least)), "ids array<long>, n long")
+    return tables.groupBy("row", "col").applyInArrow(lean_group(_often(SIDE, least)), "ids array<long>, n long")
 
 
 def _list_hashes(lists: pa.ListArray) -> np.ndarray:
@@ -481,13 +521,14 @@ def phrase_counts(documents: DataFrame, text: str, lang: str, least: int, longes
     first = known.select("id", "lang", F.col("word").alias("phrase"), "n")
     found = [first.withColumn("size", F.lit(1)).drop("id")]
     level, length = first.withColumn("ids", F.array("id")), 1
-    marks = sieve(known.select("lang", "word"), lambda lang, word: word_hashes(lang.to_pylist(), word.to_pylist()))
-    held = chunks.select("chunk", "lang", "words").mapInArrow(
-        lean(_word_rows(marks)), "chunk long, lang string, local long, word string"
-    )
-    answers = held.join(known.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
+    most, others = head(known)
+    marks = sieve(others.select("lang", "word"), lambda lang, word: word_hashes(lang.to_pylist(), word.to_pylist()))
+    held = chunks.select("chunk", "lang", "words")
+    ids = held.mapInArrow(lean(_head_rows(most)), "chunk long, ids binary")
+    held = held.mapInArrow(lean(_word_rows(most, marks)), "chunk long, lang string, local long, word string")
+    answers = held.join(others.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
     own = own.select("chunk", F.col("places").alias("words"))
-    state = together([own, answers]).groupBy("chunk").applyInArrow(lean_group(_first_state), STATE)
+    state = together([own, answers, ids]).groupBy("chunk").applyInArrow(lean_group(_first_state), STATE)
     while True:
         state = write_shared(state, "phrase-state")
         known = write_shared(frequent(state, length, least), "phrases-frequent")

@@ -174,6 +174,46 @@ def test_words_come_once_per_chunk(texts):
     assert sum(row.n_words or 0 for row in made) == 100 * 6 + 6
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_words_outside_the_head_come_by_the_join(texts, monkeypatch, most):
+    monkeypatch.setattr(phrases, "HEAD", most)
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 100)
+    pick = random.Random(most)
+    long = "long" * 50
+    rows = [(" ".join(pick.choice([*"aabcde.", long]) for _ in range(60)), pick.choice(["en", "de", None])) for _ in range(40)]
+    assert found(texts(rows), 9) == brute_force(rows, 9)
+
+
+def test_ids_of_the_most_frequent_words_are_not_joined(texts, monkeypatch):
+    """They go to all tasks; else nearly every chunk has a row for each of them."""
+    moved = []
+    monkeypatch.setattr(phrases, "together", lambda frames: moved.append(frames[1].count()) or together(frames))
+    rows = [("so it is and so it goes on " + "x" * 65, "en")] * 4
+    assert found(texts(rows, 1), 2) == brute_force(rows, 2)
+    assert moved == [1]  # the word longer than those of the head
+    monkeypatch.setattr(phrases, "HEAD", 0)
+    assert found(texts(rows, 1), 2) == brute_force(rows, 2)
+    assert moved == [1, 7]
+
+
+def test_no_stage_calls_python_twice(texts, monkeypatch):
+    """Every call takes a worker, which stays beside the executor's heap."""
+    stages, write = [], phrases.write_shared
+
+    def written(df, label):
+        names = re.findall(r"InArrow|Exchange|Scan", df._jdf.queryExecution().executedPlan().toString())
+        stages.extend(s.count("InArrow") for s in re.split("Exchange|Scan", "".join(names)))
+        return write(df, label)
+
+    monkeypatch.setattr(phrases, "write_shared", written)
+    for merged in (2, 256):
+        monkeypatch.setattr(phrases, "MERGED", merged)
+        monkeypatch.setattr(phrases, "CHUNK_BYTES", 40)
+        rows = [("so it is and so it goes on", "en")] * 40
+        assert found(texts(rows), 2) == brute_force(rows, 2)
+    assert max(stages) == 1
+
+
 def test_only_the_result_stays(spark, texts):
     from starward.sources.shared import write_result
 
