@@ -139,7 +139,7 @@ def column_audit(star: Star) -> DataFrame:
         )
     )
     # One row per declared column: an empty table has zeros.
-    every = star.spark.createDataFrame(
+    every = counted.sparkSession.createDataFrame(
         declared, "table_name string, ordinal_position int, column_name string, data_type string"
     )
     zero = F.lit(0).cast("bigint")
